@@ -2,15 +2,36 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors, once per application, unless ``PYTHONPATH`` holds it."""
+    root = Path(__file__).resolve().parents[1]
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED or str(root) in os.environ.get("PYTHONPATH", "").split(":"):
+        return
+    name = Path(tempfile.mkdtemp(prefix="treadle-")) / "treadle.zip"
+    with zipfile.ZipFile(name, "w") as z:
+        for p in (root / "treadle").rglob("*.py"):
+            z.write(p, p.relative_to(root))
+    spark.sparkContext.addPyFile(str(name))
+    _SHIPPED.add(app)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables below ``sf_dir``."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
