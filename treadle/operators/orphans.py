@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treadle.functions.paths import folded_path, parent_dir
-from treadle.session import absent, table
+from treadle.session import absent, cut, table
 
 #: A month after every possible one, the end of what is never deleted.
 FOREVER = 12 * 100_000
@@ -107,9 +107,12 @@ def orphan_references(chunks: DataFrame, deletes: DataFrame, go_mod: DataFrame,
 
 def _references(chunks, deletes, go_mod, externals):
     """All references ``(ref_field, chunk_no, ref_key, e)``, and those that are orphans."""
-    live = live_spans(
-        chunks.select("chunk_no", "repo", "id", "name", "file", "language", "calls", "imports_map", "parent", "indexed_at"),
-        deletes,
+    # every part below starts from these rows; without the cut each would join and move them again
+    live = cut(
+        live_spans(
+            chunks.select("chunk_no", "repo", "id", "name", "file", "language", "calls", "imports_map", "parent", "indexed_at"),
+            deletes,
+        ).drop("indexed_at")
     )
     known = externals.select("language", "kind", "symbol").where("symbol is not null and language is not null").distinct()
     refer = live.withColumn("e", F.col("e_first"))
