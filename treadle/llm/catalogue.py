@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from treadle.llm import packing, repetition, tokenizing
+from treadle.llm import near_dup, packing, repetition, tokenizing
 
-MODULES = (tokenizing, packing, repetition)
+MODULES = (near_dup, tokenizing, packing, repetition)
 
 
 def queries():
