@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from treadle.llm import handwritten, near_dup, packing, repetition, tokenizing
+from treadle.llm import credentials, handwritten, near_dup, packing, repetition, tokenizing
 
-MODULES = (handwritten, near_dup, tokenizing, packing, repetition)
+MODULES = (handwritten, credentials, near_dup, tokenizing, packing, repetition)
 
 
 def queries():
