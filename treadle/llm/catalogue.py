@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from treadle.llm import credentials, documentation, handwritten, near_dup, packing, repetition, tokenizing
+from treadle.llm import credentials, documentation, handwritten, near_dup, packing, repetition, tokenizing, truncation
 
-MODULES = (handwritten, credentials, documentation, near_dup, tokenizing, packing, repetition)
+MODULES = (handwritten, credentials, documentation, near_dup, tokenizing, packing, repetition, truncation)
 
 
 def queries():
