@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from treadle.operators import hierarchy, orphans
+from treadle.operators import graph, hierarchy, orphans, projections, store, vector
 
-MODULES = (orphans, hierarchy)
+MODULES = (orphans, hierarchy, projections, graph, vector, store)
 
 
 def queries():
@@ -16,4 +16,4 @@ def oracle_sql():
 
 
 def flagship(spark, sf_dir):
-    return queries()["p1_orphan_report"](spark, sf_dir)
+    return queries()["vector_topk_batch"](spark, sf_dir)
