@@ -3,7 +3,7 @@
 Tokens are the maximal runs of ASCII letters, digits and ``_``; k-mers are the
 runs of three tokens, each labelled by its occurrence, of which only the first
 counts because similarity is defined over distinct k-mers. A sketch takes, for
-each of ``SKETCHES`` permutations, the two least k-mers and keeps them in the
+each of ``SKETCHES`` permutations, the three least k-mers and keeps them in the
 order they have in the text; two codes meet where a sketch is equal, so that
 edits that keep the order weigh less than reordering.
 
@@ -14,8 +14,8 @@ sampled; codes of which they are a large part get further sketches, of four
 k-mers, over all of theirs, so that a template that much of a corpus shares is
 found as well.
 
-Codes with equal k-mer sets form a class and are represented once. Candidates
-are classes of similar size that share a sketch. A banded alignment of the two
+Codes with equal k-mer sets form a class; each task emits the sketches of a class
+once. Candidates are classes of similar size that share a sketch. A banded alignment of the two
 k-mer sequences gives a lower bound of what they share, which settles most
 pairs; the others are settled by the exact intersection.
 
@@ -41,11 +41,13 @@ from treadle.session import cut, table
 MIN_KMERS = 40
 #: The threshold as a fraction, compared in whole numbers.
 NUM, DEN = 3, 5
-SKETCHES = 32
+SKETCHES = 48
 #: Sketches of four over all k-mers, for codes of which this share is heavy.
 HEAVY_SKETCHES = 48
-HEAVY_SHARE = 0.4
-HEAVY = 0.003
+HEAVY_SHARE = 0.6
+#: K-mers of more codes than this share, and of ``HEAVY_LEAST`` at least, are heavy.
+HEAVY = 0.0003
+HEAVY_LEAST = 20
 HEAVY_MAX = 65_536
 
 _TOKENS = re.compile(r"[A-Za-z0-9_]+").findall
@@ -104,7 +106,7 @@ def kmers(codes: list, memo: dict, least: int = MIN_KMERS):
 
 
 def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """K-mers in at least a fifth of ``HEAVY`` of the codes of this task, and the number of codes as k-mer null."""
+    """K-mers in two and at least half of ``HEAVY`` of the codes of this task, and the number of codes as k-mer null."""
     memo, parts, codes = _Hashes(), [], 0
     hs, ns = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
@@ -114,7 +116,7 @@ def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = np.concatenate([ns, np.ones(len(h) - len(hs), np.int64)])
         u, at = np.unique(h, return_inverse=True)
         n = np.bincount(at, w, len(u)).astype(np.int64)
-        keep = n * 5 >= max(2, HEAVY * codes)
+        keep = n >= np.maximum(2, HEAVY * codes / 2)
         hs, ns, parts = u[keep], n[keep], []
 
     for batch in batches:
@@ -124,18 +126,19 @@ def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if sum(map(len, parts)) > 2_000_000:
             fold()
     fold()
-    keep = ns * 5 >= max(5, HEAVY * codes)
+    keep = ns >= max(2, HEAVY * codes / 2)
     hs, ns = hs[keep], ns[keep]
-    yield pa.RecordBatch.from_arrays([pa.array(np.append(hs, 0).view(np.int64), mask=np.append(np.zeros(len(hs), bool), True)), pa.array(np.append(ns, codes))], names=["h", "n"])
+    yield pa.RecordBatch.from_arrays([pa.array(np.append(hs, np.uint64(0)).view(np.int64), mask=np.append(np.zeros(len(hs), bool), True)), pa.array(np.append(ns, codes))], names=["h", "n"])
 
 
 def heavy_kmers(codes: DataFrame) -> np.ndarray:
     """The most frequent k-mers of all codes, ``HEAVY_MAX`` at most."""
     counts = codes.mapInArrow(_frequent, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    counts = counts.orderBy(F.col("h").isNotNull(), F.col("n").desc()).limit(HEAVY_MAX + 1).toPandas()
-    total = int(counts["n"][counts["h"].isna()].sum())
-    top = counts[counts["h"].notna() & (counts["n"] >= max(5, HEAVY * total))]
-    return np.sort(top["h"].to_numpy(np.int64).view(np.uint64))
+    counts = cut(counts)
+    total = (counts.where("h is null").first() or (None, 0))[1]
+    top = counts.where(F.col("h").isNotNull() & (F.col("n") >= max(HEAVY_LEAST, HEAVY * total))).orderBy(F.col("n").desc(), "h").limit(HEAVY_MAX)
+    # never through a column with nulls: that would make the hashes floats
+    return np.sort(top.select("h").toPandas()["h"].to_numpy(np.int64).view(np.uint64))
 
 
 def _least(h: np.ndarray, starts: np.ndarray, take: int) -> np.ndarray:
@@ -169,7 +172,7 @@ def sketches(g: np.ndarray, starts: np.ndarray, count: int, take: int, salt: int
 
 def _sketch(heavy: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _Hashes()
+        memo, emitted = _Hashes(), set()
         for batch in batches:
             g, which, starts = kmers(batch.column("code").to_pylist(), memo)
             n = np.diff(starts)
@@ -179,9 +182,9 @@ def _sketch(heavy: np.ndarray):
             at = np.searchsorted(heavy, g)
             is_heavy = heavy[np.minimum(at, len(heavy) - 1)] == g if len(heavy) else np.zeros(len(g), bool)
             n_light = np.bincount(doc[~is_heavy], minlength=len(n))
-            has = n_light >= 2
+            has = n_light >= 3
             light = g[~is_heavy & has[doc]]
-            bands = sketches(light, np.concatenate([[0], np.cumsum(n_light[has])]), SKETCHES, 2, 0) if has.any() else np.zeros((0, SKETCHES), np.uint64)
+            bands = sketches(light, np.concatenate([[0], np.cumsum(n_light[has])]), SKETCHES, 3, 0) if has.any() else np.zeros((0, SKETCHES), np.uint64)
             dense = n - n_light > HEAVY_SHARE * n
             more = sketches(g[dense[doc]], np.concatenate([[0], np.cumsum(n[dense])]), HEAVY_SKETCHES, 4, 7) if dense.any() else np.zeros((0, HEAVY_SKETCHES), np.uint64)
             width = has * SKETCHES + dense * HEAVY_SKETCHES
@@ -192,13 +195,20 @@ def _sketch(heavy: np.ndarray):
                     flat[((edge[:-1] + off)[rows][:, None] + np.arange(part.shape[1])).ravel()] = part.ravel()
             i64 = lambda x: pa.array(x.view(np.int64))
             s1, s2 = (np.add.reduceat(mix(g ^ k), starts[:-1]) for k in (_A, _B))
+            fresh = np.zeros(len(n), bool)
+            for i, c in enumerate(zip(s1.tolist(), s2.tolist())):
+                if c not in emitted:
+                    emitted.add(c)
+                    fresh[i] = True
+            keep_k, keep_b = fresh[doc], np.repeat(fresh, width)
+            sets = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n * fresh)]), pa.int32()), pa.array(g[keep_k].astype(np.uint32).view(np.int32)))
+            keys = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(width * fresh)]), pa.int32()), i64(flat[keep_b]))
             take = pa.array(which)
             yield pa.RecordBatch.from_arrays(
                 [
                     *(batch.column(c).take(take) for c in ("chunk_no", "repo", "file")),
                     i64(s1), i64(s2), pa.array(n.astype(np.int32)),
-                    pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(g.astype(np.uint32).view(np.int32))),
-                    pa.ListArray.from_arrays(pa.array(edge, pa.int32()), i64(flat)),
+                    sets, keys,
                 ],
                 names=["chunk_no", "repo", "file", "s1", "s2", "n", "kmers", "bands"],
             )
@@ -245,14 +255,14 @@ def sketched(chunks: DataFrame) -> DataFrame:
 
 def class_links(s: DataFrame) -> DataFrame:
     """Pairs of classes ``(a1, a2, b1, b2)`` that are similar and not equal, each once."""
-    keys = s.select("s1", "s2", "n", F.explode("bands").alias("key")).distinct()
+    keys = s.select("s1", "s2", "n", F.explode("bands").alias("key"))
     a = keys.select("key", F.col("s1").alias("a1"), F.col("s2").alias("a2"), F.col("n").alias("na"))
     b = keys.select("key", F.col("s1").alias("b1"), F.col("s2").alias("b2"), F.col("n").alias("nb"))
     less = (F.col("a1") < F.col("b1")) | ((F.col("a1") == F.col("b1")) & (F.col("a2") < F.col("b2")))
     sized = (F.col("na") * DEN >= F.col("nb") * NUM) & (F.col("nb") * DEN >= F.col("na") * NUM)
     pairs = cut(a.join(b, "key").where(less & sized).select("a1", "a2", "b1", "b2").distinct())
     nodes = pairs.select(F.col("a1").alias("s1"), F.col("a2").alias("s2")).unionByName(pairs.select("b1", "b2").toDF("s1", "s2")).distinct()
-    sets = s.select("s1", "s2", "kmers").join(nodes, ["s1", "s2"], "left_semi").dropDuplicates(["s1", "s2"])
+    sets = s.where("size(kmers) > 0").select("s1", "s2", "kmers").join(nodes, ["s1", "s2"], "left_semi").dropDuplicates(["s1", "s2"])
     wide = pairs.join(sets.toDF("a1", "a2", "ka"), ["a1", "a2"]).join(sets.toDF("b1", "b2", "kb"), ["b1", "b2"])
     return wide.select("a1", "a2", "b1", "b2", "ka", "kb").mapInArrow(_verify, "a1 long, a2 long, b1 long, b2 long")
 
