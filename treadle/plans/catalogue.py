@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from treadle.operators import graph, hierarchy, orphans, parsing, projections, store, vector
+from treadle.operators import graph, hierarchy, orphans, parsing, projections, store, summaries, vector
 
-MODULES = (orphans, hierarchy, projections, graph, vector, store, parsing)
+MODULES = (orphans, hierarchy, projections, graph, vector, store, parsing, summaries)
 
 
 def queries():
