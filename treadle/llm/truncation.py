@@ -36,6 +36,8 @@ FREQUENT, ALMOST_NEVER = 20, 0.1
 LIMIT_VALUES, LIMIT_TIMES, NEIGHBOURS = 4, 6, 15
 #: Shorter lengths are those of placeholders and separators.
 LEAST_LIMIT = 60
+#: Candidates up to this number (16 MB as keys) are broadcast to the chunks; beyond it both are shuffled.
+BROADCAST_ROWS = 1_000_000
 #: Words of documentation that are frequent enough to stand for themselves.
 KEPT_WORDS = 70
 
@@ -63,20 +65,21 @@ def masked(values: DataFrame, words: list[str]) -> DataFrame:
     doc = "(?<![\\p{L}\\p{N}_])(?!(?:" + "|".join(map(re.escape, words or ["w"])) + ")(?![\\p{L}\\p{N}_]))[\\p{L}_$][\\p{L}\\p{N}_$]*"
     code = "(?<![\\p{L}\\p{N}_$])(?!(?:" + "|".join(KEYWORDS) + ")(?![\\p{L}\\p{N}_$]))[\\p{L}_$][\\p{L}\\p{N}_$]*"
     text = F.when(F.col("field") == "docstring", F.regexp_replace(F.lower("txt"), doc, "w")).otherwise(F.regexp_replace("txt", code, "w"))
-    return values.withColumn("tokens", F.regexp_extract_all(F.regexp_replace(text, r"\n\s*", "\n"), F.lit(r"[\p{L}_$][\p{L}\p{N}_$]*|[0-9]+(?:[.][0-9]+)*|\n|[^\s\p{L}_$]"), F.lit(0)))
+    text = F.regexp_replace(text, "[0-9]+(?:[.][0-9]+)*", "0")
+    return values.withColumn("tokens", F.regexp_extract_all(text, F.lit(r"[\p{L}_$][\p{L}\p{N}_$]*|0|\n(?:\s*\n)*|[^\s\p{L}_$]"), F.lit(0)))
 
 
 _TRIGRAMS = r"""
     SELECT field, family, trigram, count(*) AS n, count_if(at = last) AS final FROM (
         SELECT field, family, size(tokens) - 3 AS last, posexplode(transform(sequence(0, size(tokens) - 3),
-            i -> concat_ws(' ', regexp_replace(tokens[i], '^[0-9].*', '0'), regexp_replace(tokens[i + 1], '^[0-9].*', '0'), regexp_replace(tokens[i + 2], '^[0-9].*', '0')))) AS (at, trigram)
+            i -> concat(tokens[i], ' ', tokens[i + 1], ' ', tokens[i + 2]))) AS (at, trigram)
         FROM {t} WHERE size(tokens) >= 3)
     GROUP BY field, family, trigram
 """
 
 _ENDS = r"""
     SELECT chunk_no, field, family, repo, length(txt) AS chars, octet_length(txt) AS bytes, marked,
-        CASE WHEN size(tokens) >= 3 THEN concat_ws(' ', transform(slice(tokens, -3, 3), x -> regexp_replace(x, '^[0-9].*', '0'))) END AS trigram
+        CASE WHEN size(tokens) >= 3 THEN array_join(slice(tokens, -3, 3), ' ') END AS trigram
     FROM {t}
 """
 
@@ -191,10 +194,13 @@ def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def truncated(chunks: DataFrame, source_files: DataFrame) -> DataFrame:
     """``(chunk_no, field)`` of the values that lack their end."""
     found = cut(candidates(judged(chunks)))
+    few = found.count() <= BROADCAST_ROWS
     rows = chunks.where("chunk_no is not null").select("chunk_no", "repo", "file", "language", "code", "docstring")
-    wide = found.join(rows, "chunk_no").dropDuplicates(["chunk_no", "field"])
-    sources = source_files.where("content is not null and repo is not null").groupBy("repo", F.col("path").alias("file")).agg(F.max_by("content", F.length("content")).alias("content"))
-    return wide.join(sources, ["repo", "file"], "left").mapInArrow(_check, "chunk_no long, field string")
+    wide = rows.join(F.broadcast(found) if few else found, "chunk_no")
+    files = wide.select("repo", "file").distinct()
+    sources = source_files.where("content is not null and repo is not null").select("repo", F.col("path").alias("file"), "content")
+    sources = sources.join(F.broadcast(files) if few else files, ["repo", "file"], "left_semi").groupBy("repo", "file").agg(F.max_by("content", F.length("content")).alias("content"))
+    return wide.join(sources, ["repo", "file"], "left").mapInArrow(_check, "chunk_no long, field string").dropDuplicates(["chunk_no", "field"])
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
