@@ -69,18 +69,20 @@ def masked(values: DataFrame, words: list[str]) -> DataFrame:
     return values.withColumn("tokens", F.regexp_extract_all(text, F.lit(r"[\p{L}_$][\p{L}\p{N}_$]*|0|\n(?:\s*\n)*|[^\s\p{L}_$]"), F.lit(0)))
 
 
+#: One pass over the tokens: counts of trigrams, and the final one of each value.
 _TRIGRAMS = r"""
-    SELECT field, family, trigram, count(*) AS n, count_if(at = last) AS final FROM (
-        SELECT field, family, size(tokens) - 3 AS last, posexplode(transform(sequence(0, size(tokens) - 3),
+    SELECT field, family, trigram, CASE WHEN at = last THEN chunk_no END AS ends, count(*) AS n FROM (
+        SELECT chunk_no, field, family, size(tokens) - 3 AS last, posexplode(transform(sequence(0, size(tokens) - 3),
             i -> concat(tokens[i], ' ', tokens[i + 1], ' ', tokens[i + 2]))) AS (at, trigram)
         FROM {t} WHERE size(tokens) >= 3)
-    GROUP BY field, family, trigram
+    GROUP BY ALL
 """
 
-_ENDS = r"""
-    SELECT chunk_no, field, family, repo, length(txt) AS chars, octet_length(txt) AS bytes, marked,
-        CASE WHEN size(tokens) >= 3 THEN array_join(slice(tokens, -3, 3), ' ') END AS trigram
-    FROM {t}
+_COUNTS = "SELECT field, family, trigram, sum(n) AS n, coalesce(sum(n) FILTER (WHERE ends IS NOT NULL), 0) AS final FROM {g} GROUP BY field, family, trigram"
+
+_ENDS = """
+    SELECT v.chunk_no, v.field, v.family, v.repo, v.chars, v.bytes, v.marked, f.trigram FROM {v} v
+    LEFT JOIN (SELECT ends AS chunk_no, field, trigram FROM {g} WHERE ends IS NOT NULL) f ON v.chunk_no = f.chunk_no AND v.field = f.field
 """
 
 _CANDIDATES = """
@@ -111,9 +113,11 @@ def judged(chunks: DataFrame) -> DataFrame:
     spark = chunks.sparkSession
     values = values_of(chunks)
     tokens = masked(values, frequent_words(values))
+    grams = cut(spark.sql(_TRIGRAMS, t=tokens))
     # a few thousand trigrams of word classes
-    trigrams = cut(spark.sql(_TRIGRAMS, t=tokens))
-    ends = cut(spark.sql(_ENDS, t=tokens.withColumn("marked", F.col("txt").rlike("(?i)" + MARK))).dropDuplicates(["chunk_no", "field"]))
+    trigrams = cut(spark.sql(_COUNTS, g=grams))
+    sizes = values.select("chunk_no", "field", "family", "repo", F.length("txt").alias("chars"), F.octet_length("txt").alias("bytes"), F.col("txt").rlike("(?i)" + MARK).alias("marked"))
+    ends = cut(spark.sql(_ENDS, v=sizes.dropDuplicates(["chunk_no", "field"]), g=grams))
     return spark.sql(_CANDIDATES, e=ends, g=trigrams, k=NEIGHBOURS, least=LIMIT_VALUES, short=LEAST_LIMIT, times=LIMIT_TIMES, often=FREQUENT, never=ALMOST_NEVER)
 
 
