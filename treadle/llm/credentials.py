@@ -38,7 +38,7 @@ REDACTED = "REDACTED"
 
 _PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY-----[\s\S]{32,8000}?-----END \1PRIVATE KEY-----")
 _JWT = re.compile(r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{10,}")
-_URL = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://[^\s:/@\"'`]*:([^\s@\"'`]+)@[\w.-]")
+_URL = re.compile(r"(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]*://[^\s:/@\"'`]*:([^\s@\"'`]+)@[\w.-]")
 _USER = re.compile(r"\s(?:-u|--user)[ =][\"']?[^\s:\"'`]+:([^\s\"'`]+)")
 _FLAG = re.compile(r"--?(?:[a-z]+-)*(?:password|passwd|passphrase|pass|pwd|secret|token|api-?key|access-?key)[= ]([^\s\"'`]+)", re.I)
 _PAIR = re.compile(r"[;\"'`](?:pwd|password|accountkey|sharedaccesskey)=([^;\"'`\s]+)", re.I)
@@ -46,11 +46,11 @@ _SCHEME = re.compile(r"\b(?:bearer|basic|token)\s+([A-Za-z0-9._~+/-]{12,}={0,2})
 _PREFIXED = re.compile(r"(?<![\w.+/-])([a-z]{2,10}\d?(?:[_.-][a-z]{2,10}\d?){0,2}[_.-])([A-Za-z0-9]{20,80})(?![\w.+/=-])")
 _WORD = r"(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|tok|key|cred(?:ential)?s?|auth|session|hmac|apikey)"
 _NAMED = re.compile(
-    r"([A-Za-z_][\w.-]*)[\"']?[ \t]*(?::[ \t]*[A-Za-z][\w<>\[\]]*[ \t]*(?==))?(?::=|=>|=|:)[ \t]*(?:[\w.]+\([ \t]*)*(?:b|r|f)?(?:\"([^\"\n]*)\"|'([^'\n]*)'|`([^`\n]*)`)"
+    r"(?<![\w.])([A-Za-z_][\w.-]*)[\"']?[ \t]*(?::[ \t]*[A-Za-z][\w<>\[\]]*[ \t]*(?==))?(?::=|=>|=|:)[ \t]*(?:[\w.]+\([ \t]*)*(?:b|r|f)?(?:\"([^\"\n]*)\"|'([^'\n]*)'|`([^`\n]*)`)"
 )
 _NAMED_BARE = re.compile(r"(?m)^[ \t]*(?:export[ \t]+|set[ \t]+)?([A-Za-z_][\w.-]*)[ \t]*[=:][ \t]*([^\s\"'`<{\[][^\s]*)[ \t]*$")
 _DEFAULT = re.compile(r"[\"']([A-Za-z_][\w.-]*)[\"']\s*,\s*[\"']([^\"'\n]+)[\"']")
-_OTHERWISE = re.compile(r"([A-Za-z_][\w.]*)(?:[\"']\]|[\"']?\))?[ \t]*(?:\|\||\?\?|\bor\b|\?:)[ \t]*[\"']([^\"'\n]+)[\"']")
+_OTHERWISE = re.compile(r"(?<![\w.])([A-Za-z_][\w.]*)(?:[\"']\]|[\"']?\))?[ \t]*(?:\|\||\?\?|\bor\b|\?:)[ \t]*[\"']([^\"'\n]+)[\"']")
 _SAID = re.compile(r"(?m)^[ \t]*(?:#|//|\*|--|;|<!--)[^\n]*?\b([A-Za-z_][\w-]*)[ \t]?[=:][ \t]?([^\s\"'`,;()<>{}]+)")
 _HAS_WORD = re.compile(_WORD, re.I).search
 _SPLIT = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+").findall
