@@ -72,6 +72,21 @@ def test_heavy_template_is_found(spark, monkeypatch):
     assert near_dup.near_duplicates(frame(spark, rows)).count() == 30 * 29 // 2
 
 
+def test_edited_copies_on_a_shared_template(spark):
+    """Pairs of which a part is template, at about the threshold: their light part alone is hardly similar."""
+    rows = []
+    for t, (heavy, shared, own) in enumerate(((32, 50, 24), (52, 30, 22), (64, 18, 22))):
+        template = " ".join(f"t{t}x{i}" for i in range(heavy))
+        for p in range(30):
+            both = " ".join(f"b{t}x{p}x{i}" for i in range(shared))
+            for c in range(2):
+                rows.append(row(len(rows), repo=f"r{len(rows)}", code=f"{template} {both} " + " ".join(f"o{t}x{p}x{c}x{i}" for i in range(own))))
+    sets = {r[0]: shingles(r[8]) for r in rows}
+    want = {(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 3 * len(sets[a] | sets[b])}
+    assert len(want) == 90
+    assert {tuple(r) for r in near_dup.near_duplicates(frame(spark, rows)).collect()} == want
+
+
 KEY = "-----BEGIN RSA PRIVATE KEY-----\\n" + "Ab3/" * 20 + "\\n-----END RSA PRIVATE KEY-----"
 
 

@@ -10,9 +10,10 @@ edits that keep the order weigh less than reordering.
 K-mers in more than ``HEAVY`` of all codes would make unrelated codes meet. They
 are counted in one pass over all rows (each task reports what is frequent in its
 part; the ``HEAVY_MAX`` most frequent are kept, 512 KB at most) and are not
-sampled; codes of which they are a large part get further sketches, of four
-k-mers, over all of theirs, so that a template that much of a corpus shares is
-found as well.
+sampled; codes of which they are more than ``MIXED_SHARE`` get further sketches, of
+four k-mers, over all of theirs, so that edited copies on a template that much of a
+corpus shares are found as well. Up to ``HEAVY_SHARE`` only sketches with a k-mer
+that is not frequent count, as the template alone makes no pair.
 
 Codes with equal k-mer sets form a class; each task emits the sketches of a class
 once. Candidates are classes of similar size that share a sketch. A banded alignment of the two
@@ -42,9 +43,11 @@ MIN_KMERS = 40
 #: The threshold as a fraction, compared in whole numbers.
 NUM, DEN = 3, 5
 SKETCHES = 48
-#: Sketches of four over all k-mers, for codes of which this share is heavy.
+#: Sketches of four over all k-mers, for codes of which more than ``MIXED_SHARE`` is heavy; those
+#: of heavy k-mers only count for codes of which more than ``HEAVY_SHARE`` is heavy.
 HEAVY_SKETCHES = 48
-HEAVY_SHARE = 0.6
+MIXED_SHARE = 0.15
+HEAVY_SHARE = 0.4
 #: K-mers of more codes than this share, and of ``HEAVY_LEAST`` at least, are heavy.
 HEAVY = 0.0003
 HEAVY_LEAST = 20
@@ -157,17 +160,20 @@ def _least(h: np.ndarray, starts: np.ndarray, take: int) -> np.ndarray:
     return out
 
 
-def sketches(g: np.ndarray, starts: np.ndarray, count: int, take: int, salt: int) -> np.ndarray:
-    """A number for each segment and permutation."""
+def sketches(g: np.ndarray, starts: np.ndarray, count: int, take: int, salt: int, light: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each segment and permutation, and whether one of its k-mers is ``light``."""
     seeds = mix(np.arange(1, count + 1, dtype=np.uint64) * _A + np.uint64(salt))
     out = np.zeros((len(starts) - 1, count), np.uint64)
+    some = np.ones(out.shape, bool)
     for b in range(count):
         p = _least(mix(g ^ seeds[b]), starts, take)
         x = np.full(len(p), seeds[b])
         for c in range(take):
             x = mix(x * _C + g[p[:, c]])
         out[:, b] = x
-    return out
+        if light is not None:
+            some[:, b] = light[p].any(axis=1)
+    return out, some
 
 
 def _sketch(heavy: np.ndarray):
@@ -183,16 +189,18 @@ def _sketch(heavy: np.ndarray):
             is_heavy = heavy[np.minimum(at, len(heavy) - 1)] == g if len(heavy) else np.zeros(len(g), bool)
             n_light = np.bincount(doc[~is_heavy], minlength=len(n))
             has = n_light >= 3
-            light = g[~is_heavy & has[doc]]
-            bands = sketches(light, np.concatenate([[0], np.cumsum(n_light[has])]), SKETCHES, 3, 0) if has.any() else np.zeros((0, SKETCHES), np.uint64)
-            dense = n - n_light > HEAVY_SHARE * n
-            more = sketches(g[dense[doc]], np.concatenate([[0], np.cumsum(n[dense])]), HEAVY_SKETCHES, 4, 7) if dense.any() else np.zeros((0, HEAVY_SKETCHES), np.uint64)
-            width = has * SKETCHES + dense * HEAVY_SKETCHES
-            edge = np.concatenate([[0], np.cumsum(width)])
-            flat = np.zeros(edge[-1], np.uint64)
-            for rows, part, off in ((has, bands, np.zeros(len(n), np.int64)), (dense, more, has * SKETCHES)):
-                if len(part):
-                    flat[((edge[:-1] + off)[rows][:, None] + np.arange(part.shape[1])).ravel()] = part.ravel()
+            own = [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+            if has.any():
+                bands, _ = sketches(g[~is_heavy & has[doc]], np.concatenate([[0], np.cumsum(n_light[has])]), SKETCHES, 3, 0)
+                own.append((np.repeat(np.flatnonzero(has), SKETCHES), bands.ravel()))
+            mixed = n - n_light > MIXED_SHARE * n
+            if mixed.any():
+                of = mixed[doc]
+                more, some = sketches(g[of], np.concatenate([[0], np.cumsum(n[mixed])]), HEAVY_SKETCHES, 4, 7, ~is_heavy[of])
+                some |= (n - n_light > HEAVY_SHARE * n)[mixed][:, None]
+                own.append((np.repeat(np.flatnonzero(mixed), some.sum(axis=1)), more[some]))
+            at, flat = map(np.concatenate, zip(*own))
+            flat, width = flat[np.argsort(at, kind="stable")], np.bincount(at, minlength=len(n))
             i64 = lambda x: pa.array(x.view(np.int64))
             s1, s2 = (np.add.reduceat(mix(g ^ k), starts[:-1]) for k in (_A, _B))
             fresh = np.zeros(len(n), bool)
