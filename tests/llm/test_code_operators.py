@@ -113,6 +113,22 @@ def test_credentials(spark):
     assert credentials.scanned(frame(spark, [])).count() == 0
 
 
+def test_credentials_wherever_they_stand(spark):
+    """Values without a run of letters and digits, glued to others, and of any length."""
+    bare, glued = "Xy7$kQ2!pR9", "q8Zt5mWx2LbV"
+    key = "-----BEGIN RSA PRIVATE KEY-----\n" + "Ab3/" * 5000 + "\n-----END RSA PRIVATE KEY-----"
+    long = "aB3" * 400
+    rows = [
+        row(1, code=f'password = "{bare}"'), row(2, code=f"x = '{bare}'; é{bare}é"),
+        row(3, code=f'token = "{glued}"'), row(4, code=f'y = "a\\n{glued}"'), row(5, code=f"z%20{glued}tail"),
+        row(6, code="-----BEGIN RSA PRIVATE KEY-----\nnot a key, which follows here: see below\n" + key), row(7, code=f'secret = "{long}"'), row(8, code=f"w{long}"),
+        row(10, code=bare[:5]), row(11, code=bare[5:]),
+    ]
+    got = {r.chunk_no: r for r in credentials.scanned(frame(spark, rows)).collect()}
+    assert {k: r.secrets for k, r in got.items()} == {1: [bare], 2: [bare], 3: [glued], 4: [glued], 5: [glued], 6: [key], 7: [long], 8: [long]}
+    assert got[2].code == "x = 'REDACTED'; éREDACTEDé" and got[5].code == "z%20REDACTEDtail"
+
+
 def test_handwritten(spark):
     def body(seed, n=30):
         r = random.Random(seed)

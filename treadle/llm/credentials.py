@@ -7,10 +7,10 @@ repositories that hold them. Values of ``MAX_OWNERS`` or more owners are
 placeholders that people copy, and suppressed; the rest are confirmed.
 
 Every chunk is then scanned again for confirmed values, wherever they stand. No
-list of all secrets is broadcast: each value is known by its longest run of
-letters and digits, a bitmap of fixed size tells which runs of a chunk may be
-such anchors, and only these are joined with the values. An automaton of the
-values a batch of chunks may hold finds their exact occurrences.
+list of all secrets is broadcast: each value is known by eight bytes in a row of it
+(no value is shorter), a bitmap of fixed size tells which eight bytes of a chunk, at
+any offset, may be such anchors, and only these are joined with the values. An
+automaton of the values a chunk may hold finds their exact occurrences.
 
 Defined results: null and empty code hold nothing; rows delivered twice count
 once; a value that occurs several times in a chunk counts once; a null ``repo``
@@ -28,22 +28,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from treadle.llm.near_dup import _A, mix
 from treadle.session import cut, table
 
 MAX_OWNERS = 6
-#: Bits of the bitmap of anchors; fixed, whatever the number of values.
-ANCHOR_BITS = 1 << 22
+#: Bits of the bitmap of anchors, and those of each anchor; fixed, whatever the number of values.
+ANCHOR_BITS = 1 << 25
+PROBES = 3
+#: Bytes of text that are searched for anchors at a time.
+SPAN = 1 << 18
 CONFIG = ("env", "ini", "properties", "toml", "yaml", "json", "xml", "conf", "cfg")
 REDACTED = "REDACTED"
 
-_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY-----[\s\S]{32,8000}?-----END \1PRIVATE KEY-----")
+_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY-----(?:[^-]|-(?!----BEGIN )){32,}?-----END \1PRIVATE KEY-----")
 _JWT = re.compile(r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{10,}")
 _URL = re.compile(r"(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]*://[^\s:/@\"'`]*:([^\s@\"'`]+)@[\w.-]")
 _USER = re.compile(r"\s(?:-u|--user)[ =][\"']?[^\s:\"'`]+:([^\s\"'`]+)")
 _FLAG = re.compile(r"--?(?:[a-z]+-)*(?:password|passwd|passphrase|pass|pwd|secret|token|api-?key|access-?key)[= ]([^\s\"'`]+)", re.I)
 _PAIR = re.compile(r"[;\"'`](?:pwd|password|accountkey|sharedaccesskey)=([^;\"'`\s]+)", re.I)
 _SCHEME = re.compile(r"\b(?:bearer|basic|token)\s+([A-Za-z0-9._~+/-]{12,}={0,2})", re.I)
-_PREFIXED = re.compile(r"(?<![\w.+/-])([a-z]{2,10}\d?(?:[_.-][a-z]{2,10}\d?){0,2}[_.-])([A-Za-z0-9]{20,80})(?![\w.+/=-])")
+_PREFIXED = re.compile(r"(?<![\w.+/-])([a-z]{2,10}\d?(?:[_.-][a-z]{2,10}\d?){0,2}[_.-])([A-Za-z0-9]{20,})(?![\w.+/=-])")
 _WORD = r"(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|tok|key|cred(?:ential)?s?|auth|session|hmac|apikey)"
 _NAMED = re.compile(
     r"(?<![\w.])([A-Za-z_][\w.-]*)[\"']?[ \t]*(?::[ \t]*[A-Za-z][\w<>\[\]]*[ \t]*(?==))?(?::=|=>|=|:)[ \t]*(?:[\w.]+\([ \t]*)*(?:b|r|f)?(?:\"([^\"\n]*)\"|'([^'\n]*)'|`([^`\n]*)`)"
@@ -54,7 +58,6 @@ _OTHERWISE = re.compile(r"(?<![\w.])([A-Za-z_][\w.]*)(?:[\"']\]|[\"']?\))?[ \t]*
 _SAID = re.compile(r"(?m)^[ \t]*(?:#|//|\*|--|;|<!--)[^\n]*?\b([A-Za-z_][\w-]*)[ \t]?[=:][ \t]?([^\s\"'`,;()<>{}]+)")
 _HAS_WORD = re.compile(_WORD, re.I).search
 _SPLIT = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+").findall
-_RUN = re.compile(r"[A-Za-z0-9]{4,}").findall
 
 _SECRET_WORDS = {"password", "passwd", "passphrase", "passcode", "pass", "pwd", "secret", "token", "tok", "apikey", "credential", "credentials", "cred", "creds", "session"}
 _KEY_BEFORE = {"api", "access", "secret", "private", "hmac", "signing", "encryption", "auth", "account", "master", "service", "license", "aes", "client", "shared", "deploy"}
@@ -79,7 +82,7 @@ def secret_name(name: str) -> bool:
 
 def plausible(value: str) -> bool:
     """A value that works as written: no placeholder, mask, reference or plain word."""
-    if not 8 <= len(value) <= 512 or _REFERENCE.search(value) or _PLACEHOLDER.match(value) or _UUID.fullmatch(value):
+    if len(value) < 8 or _REFERENCE.search(value) or _PLACEHOLDER.match(value) or _UUID.fullmatch(value):
         return False
     digits = sum(c.isdigit() for c in value)
     if digits == len(value):
@@ -145,49 +148,67 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("chunk_no").take(take), batch.column("owner").take(take), pa.array(values, pa.string())], names=["chunk_no", "owner", "secret"])
 
 
-def anchor(value: str) -> str:
-    """The longest run of letters and digits, the first of several."""
-    return max(_RUN(value), key=len, default="")
+def grams(text: bytes) -> np.ndarray:
+    """Each eight bytes in a row, as a number."""
+    x = np.frombuffer(text, np.uint8).astype(np.uint64)
+    for width in (1, 2, 4):
+        x = x[:-width] | (x[width:] << np.uint64(8 * width))
+    return x
 
 
-def _slot(run: str) -> int:
-    import xxhash
+def anchor(value: str) -> int:
+    """The eight bytes of a value that differ most among themselves, the first of several."""
+    text = value.encode()
+    w = np.sort(np.lib.stride_tricks.sliding_window_view(np.frombuffer(text, np.uint8), 8), axis=1)
+    return int(grams(text)[(w[:, 1:] != w[:, :-1]).sum(axis=1).argmax()])
 
-    return xxhash.xxh3_64_intdigest(run) % ANCHOR_BITS
+
+def _slot(g: np.ndarray, probe: int) -> np.ndarray:
+    return (mix(g + np.uint64(probe) * _A) % np.uint64(ANCHOR_BITS)).astype(np.int64)
 
 
 def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        runs = [anchor(v) for v in batch.column("secret").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("secret"), pa.array(runs, pa.string()), pa.array([_slot(r) for r in runs], pa.int32())], names=["secret", "anchor", "slot"])
+        g = np.array([anchor(v) for v in batch.column("secret").to_pylist()], np.uint64)
+        slots = np.stack([_slot(g, i) for i in range(PROBES)], axis=1).astype(np.int32)
+        ends = pa.array(np.arange(len(g) + 1) * PROBES, pa.int32())
+        yield pa.RecordBatch.from_arrays([batch.column("secret"), pa.array(g.view(np.int64)), pa.ListArray.from_arrays(ends, pa.array(slots.ravel()))], names=["secret", "anchor", "slots"])
 
 
 def _maybe(bits: np.ndarray):
-    """Chunks with runs that may be anchors."""
+    """Chunks with eight bytes in a row that may be anchors."""
+
+    def spans(codes: list) -> Iterator[tuple[int, list[bytes]]]:
+        first, part, size = 0, [], 0
+        for i, code in enumerate(codes):
+            part.append(code.encode())
+            size += len(part[-1])
+            if size >= SPAN:
+                yield first, part
+                first, part, size = i + 1, [], 0
+        yield first, part
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        slots = np.unpackbits(bits).astype(bool)
-        memo: dict[str, bool] = {}
-        digest = xxhash.xxh3_64_intdigest
         for batch in batches:
-            at, found = [], []
-            for i, code in enumerate(batch.column("code").to_pylist()):
-                hits = []
-                for r in set(_RUN(code)):
-                    known = memo.get(r)
-                    if known is None:
-                        if len(memo) > 1_000_000:
-                            memo.clear()
-                        known = memo[r] = bool(slots[digest(r) % ANCHOR_BITS])
-                    if known:
-                        hits.append(r)
-                if hits:
-                    at.append(i)
-                    found.append(hits)
-            take = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("chunk_no").take(take), batch.column("code").take(take), pa.array(found, pa.list_(pa.string()))], names=["chunk_no", "code", "runs"])
+            at, found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+            for first, part in spans(batch.column("code").to_pylist()):
+                text = b"".join(part)
+                if len(text) < 8:
+                    continue
+                g = grams(text)
+                where = np.arange(len(g))
+                for i in range(PROBES):
+                    slot = _slot(g, i)
+                    may = (bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1
+                    g, where = g[may], where[may]
+                # those that reach into the next chunk belong to none, and are told apart by the exact search
+                at.append(first + np.searchsorted(np.cumsum([len(c) for c in part]), where, side="right"))
+                found.append(g)
+            hits = np.unique(np.rec.fromarrays([np.concatenate(at), np.concatenate(found)], names="at,g"))
+            rows, starts = np.unique(hits["at"], return_index=True)
+            take = pa.array(rows)
+            runs = pa.ListArray.from_arrays(pa.array(np.append(starts, len(hits)), pa.int32()), pa.array(np.ascontiguousarray(hits["g"]).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("chunk_no").take(take), batch.column("code").take(take), runs], names=["chunk_no", "code", "runs"])
 
     return run
 
@@ -228,12 +249,12 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def confirmed(chunks: DataFrame) -> DataFrame:
-    """``(secret, anchor, slot)`` of each value that is structured or named as a credential and not widely shared."""
+    """``(secret, anchor, slots)`` of each value that is structured or named as a credential and not widely shared."""
     rows = chunks.where("code is not null and code <> '' and chunk_no is not null")
     rows = rows.select("chunk_no", F.lower(F.regexp_replace(F.coalesce("repo", F.lit("")), "__.*", "")).alias("owner"), "language", "code")
     index = rows.mapInArrow(_extract, "chunk_no long, owner string, secret string").select("secret", "owner").distinct()
     rare = index.groupBy("secret").agg(F.count("*").alias("owners")).where(F.col("owners") < MAX_OWNERS).select("secret")
-    return cut(rare.mapInArrow(_anchored, "secret string, anchor string, slot int"))
+    return cut(rare.mapInArrow(_anchored, "secret string, anchor long, slots array<int>"))
 
 
 def scanned(chunks: DataFrame) -> DataFrame:
@@ -241,11 +262,11 @@ def scanned(chunks: DataFrame) -> DataFrame:
     known = confirmed(chunks)
     bits = np.zeros(ANCHOR_BITS, bool)
     # one row for each slot, so at most ANCHOR_BITS numbers reach the driver
-    slots = known.groupBy(F.expr(f"slot div {1 << 12}").alias("p")).agg(F.collect_set("slot").alias("s"))
+    slots = known.select(F.explode("slots").alias("slot")).groupBy(F.expr(f"slot div {1 << 12}").alias("p")).agg(F.collect_set("slot").alias("s"))
     for r in slots.toLocalIterator():
         bits[r.s] = True
     rows = chunks.where("code is not null and code <> '' and chunk_no is not null").select("chunk_no", "code")
-    maybe = cut(rows.mapInArrow(_maybe(np.packbits(bits)), "chunk_no long, code string, runs array<string>"))
+    maybe = cut(rows.mapInArrow(_maybe(np.packbits(bits)), "chunk_no long, code string, runs array<long>"))
     pairs = maybe.select("chunk_no", F.explode("runs").alias("anchor")).distinct().join(known, "anchor").groupBy("chunk_no").agg(F.collect_set("secret").alias("values"))
     return maybe.dropDuplicates(["chunk_no"]).select("chunk_no", "code").join(pairs, "chunk_no").mapInArrow(_scan, "chunk_no long, secrets array<string>, code string").where("size(secrets) > 0")
 
