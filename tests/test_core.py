@@ -172,6 +172,13 @@ def test_scan_store_and_stream(spark, tmp_path):
     assert not store.has_repo(store.read(spark, path), "s") and store.has_repo(store.read(spark, path), "r")
 
 
+def test_package_clause_below_a_block_comment(spark, tmp_path):
+    files = {"a.go": "/* Licence **/\n// x\npackage a\n", "b.go": "package b\n", "c.go": "/* x */ y /* z */\npackage c\n", "d.go": "/*" + " long *\n" * 5000 + "*/\npackage d\n"}
+    spark.createDataFrame([("r", p, c) for p, c in files.items()], "repo string, path string, content string").write.parquet(f"{tmp_path}/source_files.parquet")
+    got = catalogue.queries()["package_clause_any_header"](spark, str(tmp_path)).collect()
+    assert {(r.path, r.package) for r in got} == {("a.go", "a"), ("b.go", "b"), ("d.go", "d")}
+
+
 def test_queries_match_sql(spark, sf_dir):
     """All core queries that SQL can express, on the smallest tables."""
     import glob

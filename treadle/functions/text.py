@@ -109,7 +109,7 @@ def dependency_name(path: Column) -> Column:
 
 def package_clause(content: Column) -> Column:
     """Of Go files: the first line that is neither blank nor a comment, if it is a package clause."""
-    return F.nullif(F.regexp_extract(content, r"\A(?:\s|//[^\n]*\n|/\*(?s:.*?)\*/)*package[ \t]+(\w+)", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(content, r"\A(?:\s|//[^\n]*\n|/\*(?>(?s:.*?)\*/))*package[ \t]+(\w+)", 1), F.lit(""))
 
 
 def language_of(path: Column) -> Column:

@@ -174,6 +174,13 @@ def package_clause_extract(spark, d):
     return s.select("repo", "path", text.package_clause(F.col("content")).alias("package")).where("package is not null")
 
 
+@query(r"select repo, path, regexp_extract(content, '^(\s|//[^\n]*\n|/\*(?:[^*]|\*+[^*/])*\*+/)*package[ \t]+(\w+)', 2) package from (select distinct repo, path, content from source_files where content is not null and path like '%.go') where regexp_matches(content, '^(\s|//[^\n]*\n|/\*(?:[^*]|\*+[^*/])*\*+/)*package[ \t]+(\w+)')")
+def package_clause_any_header(spark, d):
+    """Of all Go files, those that begin with a block comment as well."""
+    s = table(spark, d, "source_files").where("content is not null and path like '%.go'").distinct()
+    return s.select("repo", "path", text.package_clause(F.col("content")).alias("package")).where("package is not null")
+
+
 @query(f"select repo, lower(case when length(b) < 3 then b || '_db' else b end) || '_entities' as \"collection\" from (select repo, substr(lower(replace(replace(repo,'/','_'),'.','_')),1,50) b from (select distinct repo from chunks))")
 def repo_name_normalise(spark, d):
     return table(spark, d, "chunks").select("repo").distinct().select("repo", text.collection_name(F.col("repo")).alias("collection"))
