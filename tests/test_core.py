@@ -179,6 +179,15 @@ def test_package_clause_below_a_block_comment(spark, tmp_path):
     assert {(r.path, r.package) for r in got} == {("a.go", "a"), ("b.go", "b"), ("d.go", "d")}
 
 
+def test_upsert_of_whole_tables(spark, sf_dir):
+    chunks = spark.read.parquet(f"{sf_dir}/chunks.parquet")
+    last = {}
+    for r in chunks.select("repo", "id", "code", "loaded_at").collect():
+        last.setdefault((r.repo, r.id), []).append((r.loaded_at, r.code))
+    got = {(r.repo, r.id): (r.loaded_at, r.code, r.origin) for r in catalogue.queries()["upsert_redelivered"](spark, sf_dir).collect()}
+    assert got == {k: (*max(v, key=lambda x: x[0]), "new" if len(v) > 1 else "old") for k, v in last.items()}
+
+
 def test_queries_match_sql(spark, sf_dir):
     """All core queries that SQL can express, on the smallest tables."""
     import glob

@@ -83,6 +83,16 @@ def upsert_by_id(spark, d):
     return upserted(old, new, ["doc_id"])
 
 
+@query("select repo, id, code, loaded_at, case when n > 1 then 'new' else 'old' end origin from (select *, row_number() over (partition by repo, id order by loaded_at desc) r, count(*) over (partition by repo, id) n from chunks) where r = 1")
+def upsert_redelivered(spark, d):
+    """All chunks with their whole code: the first deliveries, upserted with the later ones."""
+    c = table(spark, d, "chunks").select("repo", "id", "code", "loaded_at")
+    c = c.withColumn("_n", F.row_number().over(Window.partitionBy("repo", "id").orderBy("loaded_at")))
+    old = c.where("_n = 1").drop("_n").withColumn("origin", F.lit("old"))
+    new = c.where("_n > 1").drop("_n").withColumn("origin", F.lit("new"))
+    return upserted(old, new, ["repo", "id"], "loaded_at")
+
+
 @query(f"select c.chunk_no, substr(md5(code),1,8) digest from {_N} c where code is not null and not exists (select 1 from {_N} o where o.chunk_no = c.chunk_no and month(o.indexed_at) % 2 = 0)")
 def incremental_changed_only(spark, d):
     """Chunks whose hash is not in the state of an earlier run (here: those indexed in even months)."""
