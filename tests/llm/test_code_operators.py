@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -149,6 +150,26 @@ def test_handwritten(spark):
     assert handwritten.not_handwritten(frame(spark, [])).count() == 0
 
 
+def test_similar_sized_against_brute_force(spark):
+    rng = random.Random(8)
+    rows = [(f, rng.randrange(1, 9), h, size) for f in range(150) for size in [int(1.12 ** rng.randrange(8, 45))] for h in rng.sample(range(30), 6)]
+    df = spark.createDataFrame(rows, "f long, owner long, h long, size long").selectExpr("*", "floor(ln(size) / ln(1.5)) as class")
+    want = {(f, h) for f, _, h, n in rows if len({o for _, o, g, m in rows if g == h and 2 * max(m, n) <= 3 * min(m, n)}) >= handwritten.OWNERS}
+    got = [tuple(r) for r in handwritten.similar_sized(df).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and 0 < len(want) < len(rows)
+
+
+def test_copies_on_two_sides_of_a_size_class(spark):
+    rng = random.Random(9)
+    line = lambda i: f"    v{rng.randrange(10**6)} = call{rng.randrange(10**6)}(x{i}) + [k{i % 7}] - 'a' * w{rng.randrange(99)}"
+    base = [line(i) for i in range(40)]
+    rows = [row(n, repo=f"o{n}__x", file=f"a{n}.py", code="\n".join(base[:n])) for n in (32, 33, 35, 36)]
+    classes = [math.floor(math.log(len(handwritten.fingerprints(r[8], handwritten._Hashes())) + 1) / math.log(1.5)) for r in rows]
+    assert classes[0] == classes[1] < classes[2] == classes[3]
+    got = {r.file for r in handwritten.file_judgements(frame(spark, rows)).where("copied").collect()}
+    assert got == {r[5] for r in rows}
+
+
 def test_documentation(spark):
     module = "# Reads all rows of the table again.\ndef first(a):\n    return 1\n\ndef second():\n    '''TODO: add description here please'''\n\nclass C:\n    def inner(self):\n        '''Says something real about inner work here.'''\n"
     rows = [
