@@ -170,6 +170,21 @@ def test_copies_on_two_sides_of_a_size_class(spark):
     assert got == {r[5] for r in rows}
 
 
+def test_marker_below_a_long_licence(spark):
+    own = "int a = f(x);\nreturn g(a, 3) - h;\n"
+    licence = "\n".join(f"// licence line {i}" for i in range(30))
+    block = "/*\n" + "\n".join(f"Licence line {i}" for i in range(30)) + "\n"
+    rows = [
+        row(1, file="a.c", code=f"{licence}\n\n// Code generated by tool. DO NOT EDIT.\n{own}"),
+        row(2, file="b.c", code=f"{block}Generated by tool 3\n*/\n{own}"),
+        row(3, file="c.c", code=f"{licence}\n{own}// Code generated by tool.\n"),
+        row(4, file="d.c", code=f"{block}*/ /* more */\n{own}// Code generated by tool.\n"),
+        row(5, file="e.c", code="/*"), row(6, file="f.c", code="/* a */\nGenerated by tool\n"),
+    ]
+    got = {r.file for r in handwritten.file_judgements(frame(spark, rows)).where("generated").collect()}
+    assert got == {"a.c", "b.c"}
+
+
 def test_documentation(spark):
     module = "# Reads all rows of the table again.\ndef first(a):\n    return 1\n\ndef second():\n    '''TODO: add description here please'''\n\nclass C:\n    def inner(self):\n        '''Says something real about inner work here.'''\n"
     rows = [
