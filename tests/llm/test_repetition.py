@@ -1,6 +1,8 @@
 import random
 import re
 
+import pyarrow as pa
+
 from treadle.llm import repetition as rp
 
 
@@ -33,3 +35,12 @@ def test_lines(spark):
     assert by[1].n_removed == 5 and by[1].rejected
     assert (by[2].n_words, by[2].lost_share, by[2].rejected) == (0, 0.0, False) and not by[3].rejected
     assert rp.repetitive(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_found_from_judged_lines(monkeypatch):
+    seen = []
+    monkeypatch.setattr(rp, "judged_lines", lambda t, judge=rp.judged_lines: seen.append(t) or judge(t))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["a b c d e\n" * 2, None])], names=["id", "text"])
+    (out,) = rp._judge(False)([batch])
+    assert out.to_pylist() == [{"id": 1, "n_words": 10, "n_repeated": 5}, {"id": 2, "n_words": 0, "n_repeated": 0}]
+    assert seen == ["a b c d e\n" * 2]

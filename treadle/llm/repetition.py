@@ -78,13 +78,6 @@ def judged_lines(text: str) -> list[tuple[int, int, bool, bool, bool]]:
     return out
 
 
-def word_totals(text: str) -> tuple[int, int]:
-    """The sums of words and repeated words over all lines, without the other rules."""
-    words = _WORDS(text.lower())
-    mark = repeated_words(words)
-    return len(words), mark.count(1) if mark else 0
-
-
 _LINE = T.StructType([T.StructField("words", T.IntegerType()), T.StructField("repeated", T.IntegerType()), *(T.StructField(c, T.BooleanType()) for c in ("open_end", "navigation", "boilerplate"))])
 
 
@@ -92,12 +85,8 @@ def _judge(full: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = pa.struct([("words", pa.int32()), ("repeated", pa.int32()), ("open_end", pa.bool_()), ("navigation", pa.bool_()), ("boilerplate", pa.bool_())])
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            if full:
-                lines = [judged_lines(t) if t else [] for t in texts]
-                totals = [(sum(x[0] for x in ls), sum(x[1] for x in ls)) for ls in lines]
-            else:  # the lines' sums alone
-                totals = [word_totals(t) if t else (0, 0) for t in texts]
+            lines = [judged_lines(t) if t else [] for t in batch.column(1).to_pylist()]
+            totals = [(sum(x[0] for x in ls), sum(x[1] for x in ls)) for ls in lines]
             cols = [batch.column(0), pa.array([a for a, _ in totals], pa.int64()), pa.array([b for _, b in totals], pa.int64())]
             names = ["id", "n_words", "n_repeated"]
             if full:
@@ -110,7 +99,7 @@ def _judge(full: bool):
 
 
 def line_records(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", full: bool = True) -> DataFrame:
-    """``(doc_id, n_words, n_repeated)`` and, if ``full``, the judged ``lines`` of each row."""
+    """``(doc_id, n_words, n_repeated)``, summed over the judged lines, and, if ``full``, the ``lines`` of each row."""
     texts = documents.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     schema = [T.StructField("id", texts.schema[0].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_repeated", T.LongType())]
     if full:
