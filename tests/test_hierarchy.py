@@ -75,6 +75,32 @@ def test_hot_group_is_salted(spark, monkeypatch):
     check(spark, rows)
 
 
+@pytest.mark.parametrize("size", ["1", "20k", None])
+def test_rings_do_not_depend_on_coalescing(spark, size):
+    """Rings over many files, whatever partitions adaptive execution merges."""
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
+    if size:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", size)
+    else:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rng = random.Random(5)
+        rows = []
+        for ring in range(60):
+            n = rng.randrange(1, 9)
+            rows += [(ring * 10 + i, "r", f"o{ring}.{i}", f"o{ring}.{(i + 1) % n}", f"f{rng.randrange(200)}", None) for i in range(n)]
+        rows += [(1000 + i, "r", f"t{i}", rng.choice([None, f"o{rng.randrange(60)}.0", f"t{rng.randrange(i + 1)}"]), f"f{rng.randrange(200)}", None) for i in range(3000)]
+        want = {k for k, v in brute(rows).items() if v[3]}
+        assert {r.chunk_no for r in h.cycle_members(spark.createDataFrame(rows, SCHEMA)).collect()} == want
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.parallelismFirst")
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+
+
 def test_descendants(spark):
     rows = [(1, "r", "a", None, "f", None), (2, "r", "b", "a", "f", None), (3, "r", "c", "b", "g", None)]
     got = {tuple(r) for r in h.descendants(h.hierarchy(spark.createDataFrame(rows, SCHEMA))).collect()}

@@ -10,7 +10,9 @@ logarithm of its depth. What never reaches a root leads into a ring; the rings
 are the nodes that stay reachable however often the links are doubled.
 
 A group of one file that is larger than ``HOT_ROWS`` is salted over several
-partitions: any placement is right, it only decides how much is left to merge.
+parts: any placement is right, it only decides how much is left to merge. The
+part of a node is written with it, and both passes over the nodes are split into
+the same fixed number of parts, which adaptive execution does not coalesce.
 
 Defined results: a null or empty parent and one that no row has make a root; a
 chunk that is its own parent is a ring of one; rows delivered twice count once,
@@ -134,9 +136,7 @@ def placed(nodes: DataFrame) -> DataFrame:
 
 def _doubled(d: DataFrame, paths: bool) -> DataFrame:
     """One round: every link is followed by the link of its end."""
-    cols = [F.col("b.path").alias("bp")] if paths else []
     b = d.select(F.col("no").alias("bn"), F.col("ptr").alias("bptr"), F.col("w").alias("bw"), *([F.col("path").alias("bp")] if paths else []))
-    del cols
     j = d.join(b, d["ptr"] == b["bn"], "left")
     out = [
         F.col("no"),
@@ -152,7 +152,8 @@ def resolve(chunks: DataFrame, paths: bool = False) -> dict[str, DataFrame]:
     """``nodes`` with their local forest, ``top`` with the way of local roots to
     global ones, ``rings`` with the numbers of all nodes in a ring."""
     nodes = cut(placed(links(chunks)))
-    spread = nodes.repartition("home")
+    parts = max(nodes.sparkSession.sparkContext.defaultParallelism, -(-nodes.count() // HOT_ROWS))
+    spread = nodes.repartition(parts, "home")
     schema = "no long, lroot long, dist long, lost boolean, inside boolean, exit long" + ", path array<long>" * paths
     local = cut(spread.select("no", "parent_no").mapInPandas(lambda b: _local(b, paths), schema))
 
@@ -180,7 +181,7 @@ def resolve(chunks: DataFrame, paths: bool = False) -> dict[str, DataFrame]:
     marked = (
         nodes.join(entries, "no", "left")
         .select("no", "parent_no", "home", F.coalesce("mark", F.lit(False)).alias("mark"))
-        .repartition("home")
+        .repartition(parts, "home")
         .select("no", "parent_no", "mark")
         .mapInPandas(_marked, "no long")
     )
