@@ -16,9 +16,15 @@ corpus shares are found as well. Up to ``HEAVY_SHARE`` only sketches with a k-me
 that is not frequent count, as the template alone makes no pair.
 
 Codes with equal k-mer sets form a class; each task emits the sketches of a class
-once. Candidates are classes of similar size that share a sketch. A banded alignment of the two
-k-mer sequences gives a lower bound of what they share, which settles most
-pairs; the others are settled by the exact intersection.
+once (it remembers the classes of its own part only). Sketches that one class has
+alone are left out after one shuffle; the others meet with the parity sketch of
+their class, a bitmap in which each k-mer flips one bit. Two such bitmaps differ in
+at most as many bits as there are k-mers in one code only, so that pairs too far
+apart are dropped where they meet, and never one that is close enough. A sketch of
+more than ``HOT_CLASSES`` classes is split into blocks that meet in pairs.
+
+A banded alignment of the two k-mer sequences gives a lower bound of what they
+share, which settles most pairs; the others are settled by the exact intersection.
 
 Defined results: null, empty and short codes (under ``MIN_KMERS`` distinct
 k-mers) have no duplicates; rows delivered twice count once; a null ``repo`` or
@@ -33,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from treadle.operators.components import connected_components
@@ -52,6 +58,10 @@ HEAVY_SHARE = 0.4
 HEAVY = 0.0003
 HEAVY_LEAST = 20
 HEAVY_MAX = 65_536
+#: Longs of a parity sketch: about as many bits as four times the k-mers, so that a power of two of them.
+PARITY_LEAST, PARITY_MOST = 8, 1024
+#: Classes of one sketch that meet in one block.
+HOT_CLASSES = 2_000
 
 _TOKENS = re.compile(r"[A-Za-z0-9_]+").findall
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -144,38 +154,70 @@ def heavy_kmers(codes: DataFrame) -> np.ndarray:
     return np.sort(top.select("h").toPandas()["h"].to_numpy(np.int64).view(np.uint64))
 
 
-def _least(h: np.ndarray, starts: np.ndarray, take: int) -> np.ndarray:
-    """Positions of the ``take`` least values of each segment, in text order; segments have that many."""
+def _padded(starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Segments of similar length as rows of one matrix: their numbers, the positions, and what is padding."""
     n = np.diff(starts)
-    out = np.zeros((len(n), take), np.int64)
-    # segments of similar length as rows of one matrix
-    for size in np.unique(np.ceil(np.log(n) * 4)):
-        rows = np.flatnonzero(np.ceil(np.log(n) * 4) == size)
-        width = n[rows].max()
-        at = starts[rows][:, None] + np.arange(width)
-        inside = np.arange(width) < n[rows][:, None]
-        m = np.where(inside, h[np.minimum(at, len(h) - 1)], np.uint64(2**64 - 1))
-        p = np.argpartition(m, take - 1, axis=1)[:, :take] if width > take else np.tile(np.arange(take), (len(rows), 1))
-        out[rows] = np.sort(p, axis=1) + starts[rows][:, None]
-    return out
+    width_class = np.ceil(np.log(n) * 4)
+    for c in np.unique(width_class):
+        rows = np.flatnonzero(width_class == c)
+        column = np.arange(n[rows].max())
+        padding = column >= n[rows][:, None]
+        yield rows, np.where(padding, 0, starts[rows][:, None] + column), padding
 
 
 def sketches(g: np.ndarray, starts: np.ndarray, count: int, take: int, salt: int, light: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """A number for each segment and permutation, and whether one of its k-mers is ``light``."""
+    """A number for each segment and permutation of its ``take`` least k-mers in text order, and whether one of them is ``light``."""
     seeds = mix(np.arange(1, count + 1, dtype=np.uint64) * _A + np.uint64(salt))
     out = np.zeros((len(starts) - 1, count), np.uint64)
     some = np.ones(out.shape, bool)
-    for b in range(count):
-        p = _least(mix(g ^ seeds[b]), starts, take)
-        x = np.full(len(p), seeds[b])
-        for c in range(take):
-            x = mix(x * _C + g[p[:, c]])
-        out[:, b] = x
-        if light is not None:
-            some[:, b] = light[p].any(axis=1)
+    most = np.uint64(2**64 - 1)
+    for rows, at, padding in _padded(starts):
+        values, line = g[at], np.arange(len(rows))
+        for b in range(count):
+            h = mix(values ^ seeds[b])
+            h[padding] = most
+            least = np.zeros((len(rows), take), np.int64)
+            for c in range(take):
+                least[:, c] = h.argmin(axis=1)
+                h[line, least[:, c]] = most
+            p = at[line[:, None], np.sort(least, axis=1)]
+            x = np.full(len(rows), seeds[b])
+            for c in range(take):
+                x = mix(x * _C + g[p[:, c]])
+            out[rows, b] = x
+            if light is not None:
+                some[rows, b] = light[p].any(axis=1)
     return out, some
 
 
+def parity(g: np.ndarray, starts: np.ndarray, longs: int) -> np.ndarray:
+    """A bitmap of ``longs`` longs of each segment, in which each value flips one bit.
+
+    The upper half of a bitmap folded on its lower half is the bitmap of half the size.
+    """
+    rows, width = len(starts) - 1, 64 * longs
+    doc = np.repeat(np.arange(rows), np.diff(starts))
+    flips = np.bincount(doc * width + (mix(g ^ _C) % np.uint64(width)).astype(np.int64), minlength=rows * width)
+    return np.packbits((flips & 1).astype(np.uint8).reshape(rows, width), axis=1).view(np.int64)
+
+
+def parity_longs(n: np.ndarray) -> np.ndarray:
+    """Longs of the parity sketch of a code with ``n`` k-mers, a power of two."""
+    return np.clip(2 ** np.ceil(np.log2(np.maximum(n, 1) / 16)), PARITY_LEAST, PARITY_MOST).astype(np.int64)
+
+
+def _parities(g: np.ndarray, starts: np.ndarray) -> pa.Array:
+    n = np.diff(starts)
+    longs = parity_longs(n)
+    out: list = [None] * len(n)
+    doc = np.repeat(np.arange(len(n)), n)
+    for size in np.unique(longs):
+        rows = np.flatnonzero(longs == size)
+        for i, p in zip(rows, parity(g[(longs == size)[doc]], np.concatenate([[0], np.cumsum(n[rows])]), int(size))):
+            out[i] = p
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(longs)]), pa.int32()), pa.array(np.concatenate(out)))
+
+
 def _sketch(heavy: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, emitted = _Hashes(), set()
@@ -212,13 +254,17 @@ def _sketch(heavy: np.ndarray):
             sets = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n * fresh)]), pa.int32()), pa.array(g[keep_k].astype(np.uint32).view(np.int32)))
             keys = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(width * fresh)]), pa.int32()), i64(flat[keep_b]))
             take = pa.array(which)
+            kept = np.flatnonzero(fresh)
+            bitmaps = _parities(g[keep_k], np.concatenate([[0], np.cumsum(n[kept])])) if len(kept) else pa.array([], pa.list_(pa.int64()))
+            at = np.cumsum(fresh) - 1
+            bitmaps = bitmaps.take(pa.array(at, mask=~fresh))
             yield pa.RecordBatch.from_arrays(
                 [
                     *(batch.column(c).take(take) for c in ("chunk_no", "repo", "file")),
                     i64(s1), i64(s2), pa.array(n.astype(np.int32)),
-                    sets, keys,
+                    sets, keys, bitmaps,
                 ],
-                names=["chunk_no", "repo", "file", "s1", "s2", "n", "kmers", "bands"],
+                names=["chunk_no", "repo", "file", "s1", "s2", "n", "kmers", "bands", "parity"],
             )
 
     return run
@@ -257,21 +303,44 @@ def sketched(chunks: DataFrame) -> DataFrame:
     heavy = heavy_kmers(chunks.select("code"))
     rows = chunks.where("chunk_no is not null").select("chunk_no", "repo", "file", "code")
     types = {f.name: f.dataType.simpleString() for f in rows.schema}
-    schema = f"chunk_no {types['chunk_no']}, repo {types['repo']}, file {types['file']}, s1 long, s2 long, n int, kmers array<int>, bands array<long>"
+    schema = f"chunk_no {types['chunk_no']}, repo {types['repo']}, file {types['file']}, s1 long, s2 long, n int, kmers array<int>, bands array<long>, parity array<long>"
     return cut(rows.mapInArrow(_sketch(heavy), schema))
 
 
+def _apart(a, b):
+    """Bits in which two parity sketches differ; the longer one is folded to the length of the other."""
+
+    def folded(x, y):
+        half = F.size(x) / 2
+        return F.when(F.size(x) > F.size(y), F.transform(F.slice(x, 1, half.cast("int")), lambda v, i: v.bitwiseXOR(F.element_at(x, (i + half + 1).cast("int"))))).otherwise(x)
+
+    return F.aggregate(F.zip_with(folded(a, b), folded(b, a), lambda v, w: F.bit_count(v.bitwiseXOR(w))), F.lit(0), lambda s, v: s + v)
+
+
+def candidates(s: DataFrame) -> DataFrame:
+    """Pairs ``(a1, b1)`` of first halves of class numbers that share a sketch and are not too far apart."""
+    # one shuffle; the copies of a class that several tasks have emitted are dropped after it
+    keys = s.select("s1", F.explode("bands").alias("key")).repartition("key").dropDuplicates(["key", "s1"])
+    keys = keys.withColumn("m", F.count("*").over(Window.partitionBy("key"))).where("m > 1")
+    about = s.where("size(kmers) > 0").dropDuplicates(["s1"]).select("s1", "n", "parity")
+    members = keys.join(about, "s1").withColumn("blocks", F.ceil(F.col("m") / HOT_CLASSES).cast("int")).drop("m")
+    block = F.pmod(F.xxhash64("s1", "key"), F.col("blocks")).cast("int")
+    each = F.when(F.col("blocks") > 1, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.lit(0)))
+    side = lambda x, at: members.select("key", F.explode(F.transform(each, at)).alias("meet"), F.col("s1").alias(f"{x}1"), F.col("n").alias(f"n{x}"), F.col("parity").alias(f"p{x}"))
+    a = side("a", lambda i: block * F.col("blocks") + i)
+    b = side("b", lambda i: i * F.col("blocks") + block)
+    sized = (F.col("na") * DEN >= F.col("nb") * NUM) & (F.col("nb") * DEN >= F.col("na") * NUM)
+    # similarity of NUM / DEN leaves (DEN - NUM) / (DEN + NUM) of both for what only one of them has
+    close = _apart(F.col("pa"), F.col("pb")) * (DEN + NUM) <= (F.col("na") + F.col("nb")) * (DEN - NUM)
+    return a.join(b, ["key", "meet"]).where((F.col("a1") < F.col("b1")) & sized).where(close).select("a1", "b1").distinct()
+
+
 def class_links(s: DataFrame) -> DataFrame:
     """Pairs of classes ``(a1, a2, b1, b2)`` that are similar and not equal, each once."""
-    keys = s.select("s1", "s2", "n", F.explode("bands").alias("key"))
-    a = keys.select("key", F.col("s1").alias("a1"), F.col("s2").alias("a2"), F.col("n").alias("na"))
-    b = keys.select("key", F.col("s1").alias("b1"), F.col("s2").alias("b2"), F.col("n").alias("nb"))
-    less = (F.col("a1") < F.col("b1")) | ((F.col("a1") == F.col("b1")) & (F.col("a2") < F.col("b2")))
-    sized = (F.col("na") * DEN >= F.col("nb") * NUM) & (F.col("nb") * DEN >= F.col("na") * NUM)
-    pairs = cut(a.join(b, "key").where(less & sized).select("a1", "a2", "b1", "b2").distinct())
-    nodes = pairs.select(F.col("a1").alias("s1"), F.col("a2").alias("s2")).unionByName(pairs.select("b1", "b2").toDF("s1", "s2")).distinct()
-    sets = s.where("size(kmers) > 0").select("s1", "s2", "kmers").join(nodes, ["s1", "s2"], "left_semi").dropDuplicates(["s1", "s2"])
-    wide = pairs.join(sets.toDF("a1", "a2", "ka"), ["a1", "a2"]).join(sets.toDF("b1", "b2", "kb"), ["b1", "b2"])
+    pairs = cut(candidates(s))
+    nodes = pairs.select(F.col("a1").alias("s1")).unionByName(pairs.select(F.col("b1").alias("s1"))).distinct()
+    sets = s.where("size(kmers) > 0").select("s1", "s2", "kmers").join(nodes, "s1", "left_semi").dropDuplicates(["s1", "s2"])
+    wide = pairs.join(sets.toDF("a1", "a2", "ka"), "a1").join(sets.toDF("b1", "b2", "kb"), "b1")
     return wide.select("a1", "a2", "b1", "b2", "ka", "kb").mapInArrow(_verify, "a1 long, a2 long, b1 long, b2 long")
 
 
