@@ -8,9 +8,10 @@ placeholders that people copy, and suppressed; the rest are confirmed.
 
 Every chunk is then scanned again for confirmed values, wherever they stand. No
 list of all secrets is broadcast: each value is known by eight bytes in a row of it
-(no value is shorter), a bitmap of fixed size tells which eight bytes of a chunk, at
+(no value is shorter), those that the fewest other values have, so that no anchor
+stands for many values; a bitmap of fixed size tells which eight bytes of a chunk, at
 any offset, may be such anchors, and only these are joined with the values. An
-automaton of the values a chunk may hold finds their exact occurrences.
+automaton of the values the chunks of a batch may hold finds their exact occurrences.
 
 Defined results: null and empty code hold nothing; rows delivered twice count
 once; a value that occurs several times in a chunk counts once; a null ``repo``
@@ -66,7 +67,11 @@ _PLACEHOLDER = re.compile(
     r"(?i)^(?:change[-_]?(?:me|it)|password\d*|secret|token|example.*|dummy.*|sample.*|test(?:ing)?\d*|todo|fixme|none|null|nil|true|false|default|redacted|placeholder.*|your[-_].*|my[-_].*|insert[-_].*|replace[-_]?.*|enter[-_].*|"
     r"set[-_]?me|not[-_]?set|xxx+.*|.*example(?:key)?|(.)\1{3,}|.*\*{3,}.*|.*\.{3,}.*|0123456789.*|1234567\d*|abc123|deadbeef.*|foo(?:bar)?|qwerty\w*)$"
 )
-_REFERENCE = re.compile(r"[<>{}\s]|^\$|%\(|^%\w+%$|://|^(?:process\.env|os\.environ|os\.getenv|env|config|settings|secrets|vault|ssm|arn)[.:(\[]|^@|^!")
+#: Values that name where a value is kept: tags, templates, variables, addresses; a sign alone is none.
+_REFERENCE = re.compile(
+    r"\s|^<[^<>]*>$|[{}<]{2}|[$#%@]\{|^\{[\w.:-]*\}$|^\$\(|^\$[A-Za-z_]\w*$|%\(\w+\)|^%\w+%$|://|^(?:process\.env|os\.environ|os\.getenv|env|config|settings|secrets|vault|ssm|arn)[.:(\[]"
+    r"|^@(?:[A-Za-z][\w.]*\(|[a-z]+[:/])|^!(?:[A-Z]?[a-z]+|[A-Z]+)(?:[:/ ]|$)"
+)
 _UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
 
 
@@ -156,23 +161,38 @@ def grams(text: bytes) -> np.ndarray:
     return x
 
 
-def anchor(value: str) -> int:
-    """The eight bytes of a value that differ most among themselves, the first of several."""
-    text = value.encode()
-    w = np.sort(np.lib.stride_tricks.sliding_window_view(np.frombuffer(text, np.uint8), 8), axis=1)
-    return int(grams(text)[(w[:, 1:] != w[:, :-1]).sum(axis=1).argmax()])
+def _grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct eight bytes of each value, with how many bytes of each are the same as another."""
+    for batch in batches:
+        values, gs, same = [], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for v in batch.column("secret").to_pylist():
+            text = v.encode()
+            g, first = np.unique(grams(text), return_index=True)
+            w = np.sort(np.lib.stride_tricks.sliding_window_view(np.frombuffer(text, np.uint8), 8)[first], axis=1)
+            values += [v] * len(g)
+            gs.append(g)
+            same.append((w[:, 1:] == w[:, :-1]).sum(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(values, pa.string()), pa.array(np.concatenate(gs).view(np.int64)), pa.array(np.concatenate(same), pa.int32())], names=["secret", "g", "same"])
+
+
+def anchored(values: DataFrame) -> DataFrame:
+    """``(secret, anchor)``: the eight bytes in a row that the fewest values have, of those the most varied."""
+    every = cut(values.mapInArrow(_grams_of, "secret string, g long, same int"))
+    often = every.groupBy("g").agg(F.count("*").alias("n"))
+    best = F.min(F.struct("n", "same", "g"))["g"]
+    return every.join(often, "g").groupBy("secret").agg(best.alias("anchor"))
 
 
 def _slot(g: np.ndarray, probe: int) -> np.ndarray:
     return (mix(g + np.uint64(probe) * _A) % np.uint64(ANCHOR_BITS)).astype(np.int64)
 
 
-def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        g = np.array([anchor(v) for v in batch.column("secret").to_pylist()], np.uint64)
+        g = batch.column("anchor").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
         slots = np.stack([_slot(g, i) for i in range(PROBES)], axis=1).astype(np.int32)
         ends = pa.array(np.arange(len(g) + 1) * PROBES, pa.int32())
-        yield pa.RecordBatch.from_arrays([batch.column("secret"), pa.array(g.view(np.int64)), pa.ListArray.from_arrays(ends, pa.array(slots.ravel()))], names=["secret", "anchor", "slots"])
+        yield pa.RecordBatch.from_arrays([batch.column("secret"), batch.column("anchor"), pa.ListArray.from_arrays(ends, pa.array(slots.ravel()))], names=["secret", "anchor", "slots"])
 
 
 def _maybe(bits: np.ndarray):
@@ -213,15 +233,22 @@ def _maybe(bits: np.ndarray):
     return run
 
 
-def occurrences(code: str, values: list[str]) -> list[tuple[int, int, str]]:
-    """Non-overlapping occurrences, longest first where they begin together."""
+def automaton(values):
+    """An automaton of the values, or None of none."""
     import ahocorasick
 
     a = ahocorasick.Automaton()
     for v in values:
-        a.add_word(v, v)
+        a.add_word(v, len(v))
+    if not len(a):
+        return None
     a.make_automaton()
-    spans = sorted(((e + 1 - len(v), e + 1, v) for e, v in a.iter(code)), key=lambda s: (s[0], -s[1]))
+    return a
+
+
+def occurrences(code: str, a) -> list[tuple[int, int]]:
+    """Non-overlapping occurrences, longest first where they begin together."""
+    spans = sorted(((e + 1 - n, e + 1) for e, n in a.iter(code)), key=lambda s: (s[0], -s[1])) if a else []
     out, end = [], 0
     for s in spans:
         if s[0] >= end:
@@ -230,10 +257,10 @@ def occurrences(code: str, values: list[str]) -> list[tuple[int, int, str]]:
     return out
 
 
-def redact(code: str, values: list[str]) -> str:
-    """Only the values replaced; a private key keeps its frame, so that it stays a string of one kind."""
+def redact(code: str, spans: list[tuple[int, int]]) -> str:
+    """The spans replaced, a private key from its first dash to its last, and nothing else."""
     parts, at = [], 0
-    for a, b, _ in occurrences(code, values):
+    for a, b in spans:
         parts += [code[at:a], REDACTED]
         at = b
     return "".join([*parts, code[at:]])
@@ -242,9 +269,11 @@ def redact(code: str, values: list[str]) -> str:
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         secrets, clean = [], []
-        for code, values in zip(batch.column("code").to_pylist(), batch.column("values").to_pylist()):
-            secrets.append(sorted({v for _, _, v in occurrences(code, values)}))
-            clean.append(redact(code, values))
+        a = automaton({v for values in batch.column("values").to_pylist() for v in values})
+        for code in batch.column("code").to_pylist():
+            spans = occurrences(code, a)
+            secrets.append(sorted({code[x:y] for x, y in spans}))
+            clean.append(redact(code, spans))
         yield pa.RecordBatch.from_arrays([batch.column("chunk_no"), pa.array(secrets, pa.list_(pa.string())), pa.array(clean, pa.string())], names=["chunk_no", "secrets", "code"])
 
 
@@ -254,7 +283,7 @@ def confirmed(chunks: DataFrame) -> DataFrame:
     rows = rows.select("chunk_no", F.lower(F.regexp_replace(F.coalesce("repo", F.lit("")), "__.*", "")).alias("owner"), "language", "code")
     index = rows.mapInArrow(_extract, "chunk_no long, owner string, secret string").select("secret", "owner").distinct()
     rare = index.groupBy("secret").agg(F.count("*").alias("owners")).where(F.col("owners") < MAX_OWNERS).select("secret")
-    return cut(rare.mapInArrow(_anchored, "secret string, anchor long, slots array<int>"))
+    return cut(anchored(rare).mapInArrow(_slots, "secret string, anchor long, slots array<int>"))
 
 
 def scanned(chunks: DataFrame) -> DataFrame:
