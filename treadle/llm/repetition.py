@@ -1,10 +1,12 @@
 """Repetition inside a single document, line by line.
 
-Each line of a text is judged on its own: its words and how many of them are
+Each line of a text is judged on its own by every rule: how many of its words are
 repeated content, whether it ends in punctuation, whether it is navigation, and
-whether it is boilerplate. Lines that fail are removed, and a document that
-loses too much of its text is rejected. One pass over the text, in Arrow
-batches; nothing is shuffled.
+whether it is boilerplate. What fails is removed, and a document that loses too much
+of its text is rejected. The repetition rule removes of each line the words that are
+repeated, the others the whole line. ``p10_found`` are the documents that are rejected
+for their losses by the repetition rule alone, ``p10_cleaned`` shows the losses by all
+rules. One pass over the text, in Arrow batches; nothing is shuffled.
 
 Words are the maximal runs of Unicode letters and digits in the lower-cased
 text. A word is repeated if it lies in a window of five consecutive words whose
@@ -28,7 +30,7 @@ from pyspark.sql import types as T
 from treadle.session import table
 
 WINDOW = 5
-#: A document is rejected at this share of repeated words, in tenths, to compare whole numbers.
+#: A document is rejected if the repetition rule removes this share of its words, in tenths, to compare whole numbers.
 TENTHS = 3
 #: A line is removed at this share of repeated words.
 LINE_SHARE = 0.5
@@ -108,7 +110,7 @@ def line_records(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
 
 
 def repetitive(documents: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """Documents that would lose ``TENTHS`` or more of their words as repeated content."""
+    """Documents rejected because the repetition rule removes ``TENTHS`` or more of their words, summed over the judged lines."""
     return line_records(documents, doc_id, full=False).where((F.col("n_words") > 0) & (F.col("n_repeated") * 10 >= F.col("n_words") * TENTHS)).select(doc_id).distinct()
 
 
@@ -136,4 +138,12 @@ def p10_cleaned(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p10_found": p10_found, "p10_cleaned": p10_cleaned}
-SQL: dict[str, str] = {}
+SQL = {
+    "p10_found": r"""
+with d as (select distinct doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') w from documents where text is not null),
+f as (select doc_id, unnest([{'i': i, 'five': w[i:i+4]} for i in range(1, len(w) - 3)]) x from d where len(w) > 4),
+again as (select doc_id, x.i i, row_number() over (partition by doc_id, x.five order by x.i) r from f),
+marked as (select distinct doc_id, i + unnest(range(0, 5)) as k from again where r > 1),
+n as (select doc_id, count(*) n from marked group by doc_id)
+select distinct doc_id from n join d using (doc_id) where n * 10 >= len(w) * 3""",
+}
