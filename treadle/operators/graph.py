@@ -173,51 +173,6 @@ def calls_dedup_validated(spark, d):
     return edges(spark, d, "CALLS").select("repo", "src", "dst").join(n.withColumnRenamed("id", "src"), ["repo", "src"], "left_semi").join(n.withColumnRenamed("id", "dst"), ["repo", "dst"], "left_semi").select("repo", "src", "dst")
 
 
-_RES = f"""with n as {_N}, k as (select distinct repo, id, file, unnest(calls) as "call" from n),
-imp as (select repo, id, unnest(map_keys(imports_map)) alias, unnest(map_values(imports_map)).from_path from_path from n),
-cand as (
- select k.repo, k.id, k."call", 1 pr, t.start_line o, t.id t from k join n t on t.repo=k.repo and t.file=k.file and t.name=k."call" and t.id<>k.id
- union all select k.repo, k.id, k."call", 2, t.start_line, t.id from k join imp i on i.repo=k.repo and i.id=k.id and i.alias=k."call" join n t on t.repo=k.repo and t.name=k."call" and t.file = replace(i.from_path,'.','/') || '.py'
- union all select k.repo, k.id, k."call", 3, t.start_line, t.id from k join n c on c.repo=k.repo and c.id=k.id join n t on t.repo=k.repo and t.name=k."call" and t.package_name=c.package_name and c.package_name<>'' and t.file<>k.file)
-select repo, id, "call", t as target, pr as priority from (select *, row_number() over (partition by repo, id, "call" order by pr, o, t) r from cand) where r=1"""
-
-
-@query(_RES)
-def call_resolution_ranked(spark, d):
-    n = nodes(spark, d, "name", "file", "start_line", "package_name", "calls", "imports_map")
-    return resolve_calls(n).select("repo", "id", "call", "target", "priority")
-
-
-def resolve_calls(n: DataFrame) -> DataFrame:
-    """At most one target of each call: the same file first, then the file a name is imported from, then the package.
-
-    A union of ranked candidates; the first by priority, line and id counts.
-    """
-    k = n.select("repo", "id", "file", "package_name", "imports_map", F.explode(F.array_distinct("calls")).alias("call"))
-    t = n.select("repo", F.col("name").alias("call"), F.col("id").alias("target"), F.col("file").alias("t_file"), F.col("start_line").alias("line"), F.col("package_name").alias("t_package"))
-    # one join on the name, whose candidates are then told apart, instead of one for each rule
-    j = k.join(t, ["repo", "call"])
-    imported = F.concat(F.translate(F.get(F.filter(F.map_entries("imports_map"), lambda e: e["key"] == F.col("call")), F.lit(0))["value"]["from_path"], ".", "/"), F.lit(".py"))
-    priority = (
-        F.when((F.col("t_file") == F.col("file")) & (F.col("target") != F.col("id")), 1)
-        .when(F.col("t_file") == imported, 2)
-        .when((F.col("package_name") != "") & (F.col("t_package") == F.col("package_name")) & (F.col("t_file") != F.col("file")), 3)
-    )
-    return ranked(j.withColumn("priority", priority).where("priority is not null"), ["repo", "id", "call"], ["priority", "line", "target"], 1)
-
-
-@query(f"""with i as (select distinct repo, id, from_path from (select repo, id, unnest(map_values(imports_map)).from_path from_path from {_N} where language='python') where from_path is not null),
-f as (select distinct repo, file from chunks), c as (select repo, id, from_path, unnest([replace(from_path,'.','/') || '.py', replace(from_path,'.','/') || '/__init__.py', regexp_replace(replace(from_path,'.','/'),'/[^/]*$','') || '.py']) cand, unnest([0,1,2]) pos from i)
-select repo, id, from_path, min_by(cand, pos) file from c where exists (select 1 from f where f.repo=c.repo and f.file=c.cand) group by 1,2,3""")
-def extension_probe(spark, d):
-    """The first of the candidate files that exists."""
-    i = nodes(spark, d, "language", "imports_map").where("language = 'python'").select("repo", "id", F.explode(F.map_values("imports_map")).alias("i")).select("repo", "id", F.col("i.from_path").alias("from_path")).where("from_path is not null").distinct()
-    p = F.translate("from_path", ".", "/")
-    c = i.select("repo", "id", "from_path", F.posexplode(F.array(F.concat(p, F.lit(".py")), F.concat(p, F.lit("/__init__.py")), F.concat(F.regexp_replace(p, r"/[^/]*$", ""), F.lit(".py")))).alias("pos", "file"))
-    known = table(spark, d, "chunks").select("repo", "file").distinct()
-    return c.join(known, ["repo", "file"], "left_semi").groupBy("repo", "id", "from_path").agg(F.min_by("file", "pos").alias("file"))
-
-
 @query(f"""with i as (select distinct n.repo, n.id, v.from_path, m.module from (select repo, id, unnest(map_values(imports_map)) v from {_N} where language='go') n join (select repo, min(nullif(module,'')) as module from go_mod group by 1) m using (repo) where starts_with(v.from_path, m.module || '/'))
 select distinct i.repo, i.id as src, t.id as dst, i.from_path as attr from i join {_N} t on t.repo=i.repo and regexp_replace(t.file,'/[^/]*$','') = substr(i.from_path, length(i.module)+2) and t.file like '%.go' and t.chunk_type in ('struct','interface','function')""")
 def import_edges_explode(spark, d):
