@@ -142,33 +142,33 @@ def flow_name(kind: Column, route: Column, name: Column) -> Column:
     return F.when(or_empty(route) != "", F.trim(F.concat_ws(" ", kind, route))).otherwise(name)
 
 
-def entry_point_line() -> Column:
-    said = lambda label, c: F.when(or_empty(F.col(c)) != "", F.concat(F.lit(label), F.col(c)))
-    return F.when(
-        F.col("is_entry_point"),
-        F.concat_ws(" | ", F.concat(F.lit("Entry point: "), or_empty(F.col("entry_point_type"))), said("Route: ", "entry_point_route"), said("Method: ", "entry_point_method")),
-    )
+# Fixed values of the two renderings: labels, their order, and the lengths at which texts are clipped.
+CONTEXT_DOC, CONTEXT_CALLS, LLM_DOC = 300, 10, 200
+
+
+def _said(label: str, c: str) -> Column:
+    return F.when(or_empty(F.col(c)) != "", F.concat(F.lit(label), F.col(c)))
 
 
 def context_string() -> Column:
     """What a chunk is, in lines; absent parts give no line."""
-    said = lambda label, c: F.when(or_empty(F.col(c)) != "", F.concat(F.lit(label), F.col(c)))
     listed = lambda label, arr: F.when(F.size(arr) > 0, F.concat(F.lit(label), F.array_join(arr, ", ")))
     params = F.transform("params", lambda p: F.concat(or_empty(p["name"]), F.lit(": "), F.coalesce(F.nullif(p["type"], F.lit("")), F.lit("any"))))
+    entry = F.concat_ws(" | ", F.concat(F.lit("Entry point type: "), or_empty(F.col("entry_point_type"))), _said("Route/topic: ", "entry_point_route"), _said("HTTP method: ", "entry_point_method"))
     return F.concat_ws(
         "\n",
-        F.concat(F.initcap("chunk_type"), F.lit(": "), F.col("name")),
-        F.concat(F.lit("File: "), F.col("file")),
-        said("Signature: ", "signature"),
-        F.when(or_empty(F.col("docstring")) != "", F.concat(F.lit("Description: "), clipped(F.col("docstring"), 300))),
+        F.concat(or_empty(F.col("chunk_type")), F.lit(": "), or_empty(F.col("name"))),
+        F.concat(F.lit("File: "), or_empty(F.col("file"))),
+        _said("Signature: ", "signature"),
+        F.when(or_empty(F.col("docstring")) != "", F.concat(F.lit("Description: "), clipped(F.col("docstring"), CONTEXT_DOC))),
         listed("Decorators: ", F.col("decorators")),
         listed("Parameters: ", params),
-        said("Returns: ", "returns"),
-        listed("Calls: ", F.slice("calls", 1, 10)),
-        F.when(or_empty(F.col("parent")) != "", F.concat(F.lit("Member of: "), F.element_at(F.split("parent", "::"), -1))),
-        entry_point_line(),
+        _said("Returns: ", "returns"),
+        listed("Calls: ", F.slice("calls", 1, CONTEXT_CALLS)),
+        F.when(or_empty(F.col("parent")) != "", F.concat(F.lit("In: "), F.element_at(F.split("parent", "::"), -1))),
+        F.when(F.col("is_entry_point"), entry),
         listed("Implements: ", F.col("implements")),
-        said("Package: ", "package_name"),
+        _said("Package: ", "package_name"),
     )
 
 
@@ -178,14 +178,20 @@ def embedding_text() -> Column:
 
 
 def llm_context() -> Column:
-    head = F.concat_ws(
+    """A chunk as a model reads it: its situating context, a header, its whole code in a fence."""
+    header = F.concat_ws(
+        "\n",
+        F.concat(F.lit("File: "), or_empty(F.col("file")), F.lit(" (lines "), F.col("start_line"), F.lit("-"), F.col("end_line"), F.lit(") ["), or_empty(F.col("language")), F.lit("]")),
+        F.when(or_empty(F.col("signature")) != "", F.concat(or_empty(F.col("chunk_type")), F.lit(": "), F.col("signature"))),
+        F.when(or_empty(F.col("docstring")) != "", F.concat(F.lit("Doc: "), F.substring("docstring", 1, LLM_DOC))),
+        F.when(F.col("is_entry_point"), F.concat_ws(" ", F.concat(F.lit("Entry point: "), or_empty(F.col("entry_point_type"))), _said("", "entry_point_method"), _said("", "entry_point_route"))),
+    )
+    return F.concat_ws(
         "\n",
-        F.when(or_empty(F.col("situating_context")) != "", F.concat(F.lit("<context>\n"), F.col("situating_context"), F.lit("\n</context>"))),
-        F.concat(F.lit("### "), F.col("name"), F.lit(" ("), F.col("chunk_type"), F.lit(")")),
-        F.concat(F.lit("File: "), F.col("file"), F.lit(":"), F.col("start_line"), F.lit("-"), F.col("end_line")),
-        F.when(or_empty(F.col("docstring")) != "", clipped(F.col("docstring"), 200)),
+        F.when(or_empty(F.col("situating_context")) != "", F.concat(F.lit("<context>\n"), F.col("situating_context"), F.lit("\n</context>\n"))),
+        header,
+        F.concat(F.lit("```"), or_empty(F.col("language")), F.lit("\n"), or_empty(F.col("code")), F.lit("\n```")),
     )
-    return F.concat(head, F.lit("\n```"), or_empty(F.col("language")), F.lit("\n"), or_empty(F.col("code")), F.lit("\n```"))
 
 
 INTENTS = (

@@ -50,13 +50,13 @@ def chunk_projection_truncate(spark, d):
         o(F.col("signature")).alias("signature"), o(F.col("receiver_type")).alias("receiver_type"), "package_name")
 
 
-_CTX = """concat_ws(chr(10), upper(chunk_type[1]) || lower(chunk_type[2:]) || ': ' || name, 'File: ' || file, case when signature <> '' then 'Signature: ' || signature end,
+_CTX = """concat_ws(chr(10), coalesce(chunk_type, '') || ': ' || coalesce(name, ''), 'File: ' || coalesce(file, ''), case when signature <> '' then 'Signature: ' || signature end,
  case when docstring <> '' then 'Description: ' || case when length(docstring) > 300 then docstring[1:300] || '...' else docstring end end,
  case when len(decorators) > 0 then 'Decorators: ' || array_to_string(decorators, ', ') end,
  case when len(params) > 0 then 'Parameters: ' || array_to_string(list_transform(params, lambda p: coalesce(p.name,'') || ': ' || coalesce(nullif(p.type,''),'any')), ', ') end,
  case when "returns" <> '' then 'Returns: ' || "returns" end, case when len(calls) > 0 then 'Calls: ' || array_to_string(calls[1:10], ', ') end,
- case when parent <> '' then 'Member of: ' || string_split(parent,'::')[-1] end,
- case when is_entry_point then concat_ws(' | ', 'Entry point: ' || coalesce(entry_point_type,''), case when entry_point_route <> '' then 'Route: ' || entry_point_route end, case when entry_point_method <> '' then 'Method: ' || entry_point_method end) end,
+ case when parent <> '' then 'In: ' || string_split(parent,'::')[-1] end,
+ case when is_entry_point then concat_ws(' | ', 'Entry point type: ' || coalesce(entry_point_type,''), case when entry_point_route <> '' then 'Route/topic: ' || entry_point_route end, case when entry_point_method <> '' then 'HTTP method: ' || entry_point_method end) end,
  case when len(implements) > 0 then 'Implements: ' || array_to_string(implements, ', ') end, case when package_name <> '' then 'Package: ' || package_name end)"""
 _CTX_COLS = ("repo", "chunk_type", "name", "file", "signature", "docstring", "decorators", "params", "returns", "calls", "parent", "is_entry_point", "entry_point_type", "entry_point_route", "entry_point_method", "implements", "package_name")
 
@@ -72,12 +72,13 @@ def embedding_text_fallback(spark, d):
     return _chunks(spark, d, *_CTX_COLS, "code", "use_contextual_embedding", "contextual_embedding_text").select("chunk_no", F.md5(F.encode(text.embedding_text(), "UTF-8")).alias("digest"))
 
 
-@query(f"""select chunk_no, md5(concat_ws(chr(10), case when situating_context <> '' then '<context>' || chr(10) || situating_context || chr(10) || '</context>' end,
- '### ' || name || ' (' || chunk_type || ')', 'File: ' || file || ':' || start_line || '-' || end_line,
- case when docstring <> '' then case when length(docstring) > 200 then docstring[1:200] || '...' else docstring end end)
- || chr(10) || '```' || coalesce(language,'') || chr(10) || coalesce(code,'') || chr(10) || '```') digest from {_ONE}""")
+@query(f"""select chunk_no, md5(concat_ws(chr(10), case when situating_context <> '' then '<context>' || chr(10) || situating_context || chr(10) || '</context>' || chr(10) end,
+ 'File: ' || coalesce(file, '') || ' (lines ' || start_line || '-' || end_line || ') [' || coalesce(language, '') || ']',
+ case when signature <> '' then coalesce(chunk_type, '') || ': ' || signature end, case when docstring <> '' then 'Doc: ' || docstring[1:200] end,
+ case when is_entry_point then concat_ws(' ', 'Entry point: ' || coalesce(entry_point_type, ''), nullif(entry_point_method, ''), nullif(entry_point_route, '')) end,
+ '```' || coalesce(language,'') || chr(10) || coalesce(code,'') || chr(10) || '```')) digest from {_ONE}""")
 def llm_context_render(spark, d):
-    c = _chunks(spark, d, "name", "chunk_type", "file", "start_line", "end_line", "docstring", "situating_context", "language", "code")
+    c = _chunks(spark, d, "chunk_type", "file", "start_line", "end_line", "signature", "docstring", "is_entry_point", "entry_point_type", "entry_point_method", "entry_point_route", "situating_context", "language", "code")
     return c.select("chunk_no", F.md5(F.encode(text.llm_context(), "UTF-8")).alias("digest"))
 
 
