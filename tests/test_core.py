@@ -145,9 +145,9 @@ def test_parsers(spark):
     assert (h.entry_point_type, h.entry_point_route, h.entry_point_method, h.imports) == ("http", "/login", "POST", ["example.com/app/store"])
     assert rows["src/U.java::class::UserController"].implements == ["Api"]
     o = rows["src/U.java::method::one"]
-    assert (o.entry_point_method, o.entry_point_route, o.calls, o.parent) == ("GET", "/{id}", ["findById"], "src/U.java::class::UserController")
+    assert (o.entry_point_method, o.entry_point_route, o.calls, o.parent) == ("GET", "/api/{id}", ["findById"], "src/U.java::class::UserController")
     assert rows["web/r.js::function::saveItem"].calls == ["validate"] and rows["web/r.js::function::saveItem"].entry_point_method == "POST"
-    assert rows["bad.py"].error.startswith("SyntaxError") and rows["x.rb::block::lines_1"].chunk_type == "block" and "n.py" not in {r.file for r in rows.values()}
+    assert rows["bad.py"].error.startswith("SyntaxError") and rows["x.rb::block::L1"].chunk_type == "block" and "n.py" not in {r.file for r in rows.values()}
 
 
 def test_scan_store_and_stream(spark, tmp_path):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,6 +22,21 @@ def boundary_blocks(rows: DataFrame, key: str, text: str) -> DataFrame:
     return marked.groupBy(key, "block").agg(body.alias("body")).where(F.length("body") >= LEAST)
 
 
+_BEGINS = re.compile(r"(?:def|function|func|fn|sub|class|struct|interface)\s+([a-zA-Z_]\w*)", re.I)
+
+
+def split_at_boundaries(text: str) -> list[tuple[str, int, int, str]]:
+    """(name, first line, last line, body) from one line that begins a definition to the next; none without such lines."""
+    lines = text.split("\n")
+    starts = [i for i, line in enumerate(lines) if i and _BEGINS.match(line.strip())]
+    out = []
+    for a, b in zip([0, *starts], [*starts, len(lines)]) if starts else ():
+        body, name = "\n".join(lines[a:b]), _BEGINS.match(lines[a])
+        if len(body.strip()) >= LEAST:
+            out.append((name.group(1) if name else "block", a + 1, b, body))
+    return out
+
+
 def split_by_size(text: str, size: int = SIZE) -> list[tuple[int, int, str]]:
     """(first line, last line, body); the next piece begins up to ``OVERLAP_LINES`` lines back."""
     lines = text.split("\n")
