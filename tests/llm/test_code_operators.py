@@ -1,4 +1,3 @@
-import math
 import random
 import re
 
@@ -168,24 +167,35 @@ def test_handwritten(spark):
     assert handwritten.not_handwritten(frame(spark, [])).count() == 0
 
 
-def test_similar_sized_against_brute_force(spark):
-    rng = random.Random(8)
-    rows = [(f, rng.randrange(1, 9), h, size) for f in range(150) for size in [int(1.12 ** rng.randrange(8, 45))] for h in rng.sample(range(30), 6)]
-    df = spark.createDataFrame(rows, "f long, owner long, h long, size long").selectExpr("*", "floor(ln(size) / ln(1.5)) as class")
-    want = {(f, h) for f, _, h, n in rows if len({o for _, o, g, m in rows if g == h and 2 * max(m, n) <= 3 * min(m, n)}) >= handwritten.OWNERS}
-    got = [tuple(r) for r in handwritten.similar_sized(df).collect()]
-    assert len(got) == len(set(got)) and set(got) == want and 0 < len(want) < len(rows)
-
+def test_minima_against_brute_force(spark):
+    """Of each file the share of minima that recur, counted one by one."""
+    import numpy as np
 
-def test_copies_on_two_sides_of_a_size_class(spark):
+    rng = random.Random(8)
+    pools = [[rng.getrandbits(64) for _ in range(60)] for _ in range(6)]
+    files = []
+    for f in range(60):
+        own = rng.sample(rng.choice(pools), rng.choice([20, 50, 58])) + [rng.getrandbits(64) for _ in range(rng.choice([0, 5, 60]))]
+        files.append((f, rng.randrange(5), [int(x) for x in handwritten.minima(np.unique(np.array(own, np.uint64)))]))
+    owners = {}
+    for _, o, ms in files:
+        for i, m in enumerate(ms):
+            owners.setdefault((i, m), set()).add(o)
+    want = {f for f, _, ms in files if sum(len(owners[x]) >= handwritten.OWNERS for x in enumerate(ms)) >= handwritten.MINIMA * handwritten.SHARED}
+    got = [r.f for r in handwritten.copied_files(spark.createDataFrame(files + files[:9], "f long, owner long, minima array<long>").distinct()).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and 0 < len(want) < len(files)
+
+
+def test_copies_without_names_and_banners(spark):
+    """Edited copies of similar sizes with neutral names count; large files that hold the same function do not."""
     rng = random.Random(9)
     line = lambda i: f"    v{rng.randrange(10**6)} = call{rng.randrange(10**6)}(x{i}) + [k{i % 7}] - 'a' * w{rng.randrange(99)}"
     base = [line(i) for i in range(40)]
-    rows = [row(n, repo=f"o{n}__x", file=f"a{n}.py", code="\n".join(base[:n])) for n in (32, 33, 35, 36)]
-    classes = [math.floor(math.log(len(handwritten.fingerprints(r[8], handwritten._Hashes())) + 1) / math.log(1.5)) for r in rows]
-    assert classes[0] == classes[1] < classes[2] == classes[3]
+    rows = [row(n, repo=f"o{n}__x", file=f"core/a{n}.py", code="\n".join(base[:n])) for n in (32, 33, 35, 36)]
+    rows += [row(100 + i, repo=f"o{i}__x", file=f"core/b{i}.py", code="\n".join([*base[:12], *(line(j) for j in range(60))])) for i in range(6)]
+    rows += [row(200 + i, repo=f"p{i}__x", file=f"two/c{i}.py", code="\n".join(base[20:40] + base[:3])) for i in range(2)]
     got = {r.file for r in handwritten.file_judgements(frame(spark, rows)).where("copied").collect()}
-    assert got == {r[5] for r in rows}
+    assert got == {r[5] for r in rows[:4]}
 
 
 def test_marker_below_a_long_licence(spark):
