@@ -4,7 +4,8 @@ Documents are cut into pre-tokens by the vocabulary's pattern. A block of
 documents (``BLOCK_CHARS`` of text) keeps its distinct pre-tokens once and its
 documents as positions in them, so that the global shuffle moves each word once
 per block instead of once per occurrence. The shuffle by word brings equal words
-of all blocks together, where each distinct word is encoded once; its ids go
+of all blocks together, where each distinct word is encoded once (once for every
+``2 ** SHARING`` tasks of the first pass, in a corpus that has more); its ids go
 back to the blocks by their number, and every document is reassembled by
 position. Decoding explodes ids by position and joins the table of token bytes.
 
@@ -41,6 +42,10 @@ _WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\
 #: Characters of text whose documents share a dictionary.
 BLOCK_CHARS = 8_000_000
 
+#: Tasks whose blocks share the encoding of a word, as a power of two, so that the most
+#: frequent word of a large corpus is not one task's.
+SHARING = 12
+
 _ENCODERS: dict = {}
 
 
@@ -178,7 +183,7 @@ def _assembled(texts: DataFrame, path: str, f, schema: T.StructType) -> DataFram
     out = T.StructType([T.StructField("block", T.LongType()), T.StructField("id", kind), T.StructField("pos", T.ArrayType(T.IntegerType())), T.StructField("words", T.ArrayType(T.StringType()))])
     blocks = cut(texts.mapInArrow(_blocks, out))
     words = blocks.where("words is not null").select("block", F.posexplode("words").alias("n", "word"))
-    coded = words.repartition("word").sortWithinPartitions("word").mapInArrow(_encode(path), "block long, n int, ids array<int>")
+    coded = words.repartition("word", F.shiftright("block", 32 + SHARING)).sortWithinPartitions("word").mapInArrow(_encode(path), "block long, n int, ids array<int>")
     docs = blocks.where("words is null").select("block", "id", "pos")
     return docs.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(f, schema)
 
