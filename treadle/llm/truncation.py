@@ -1,10 +1,13 @@
 """Text cut off by field limits or in transfer.
 
-Word trigrams are counted inside texts and at their ends, in SQL over whole
-texts; rare words are one class, so that a trigram is a way to go on or to end
-rather than a phrase. The final trigrams are joined with the counts: a text whose
-last trigram is frequent inside and almost never final is a candidate. So are
-texts of a length (in characters or bytes, a mark aside) that is far more common
+Word trigrams are counted inside texts and at their ends, in SQL over whole texts;
+numbers are one word and signs and line ends are words of their own. The trigrams as
+they stand are counted once; from their counts follow the words that make up
+``KEPT_SHARE`` of a family of texts (so never more than its inverse), and the counts
+of trigrams in which all other words are one class. The final trigrams are joined
+with both: a text whose last trigram is frequent inside and almost never final is a
+candidate; the trigram as it stands decides where it is frequent, else its class. So
+are texts of a length (in characters or bytes, a mark aside) that is far more common
 in their repository than its neighbours, and texts that end in a mark of
 omission.
 
@@ -36,71 +39,64 @@ FREQUENT, ALMOST_NEVER = 20, 0.1
 LIMIT_VALUES, LIMIT_TIMES, NEIGHBOURS = 4, 6, 15
 #: Shorter lengths are those of placeholders and separators.
 LEAST_LIMIT = 60
-#: Candidates up to this number (16 MB as keys) are broadcast to the chunks; beyond it both are shuffled.
-BROADCAST_ROWS = 1_000_000
-#: Words of documentation that are frequent enough to stand for themselves.
-KEPT_WORDS = 70
+#: Candidates up to this number (about 25 MB as keys) are broadcast to the chunks; beyond it both are shuffled.
+BROADCAST_ROWS = 250_000
+#: Words of a family of texts that stand for themselves in the classes of trigrams.
+KEPT_SHARE = 0.01
+#: Characters of a text's end that hold its last words, if there are four; otherwise the whole text is searched.
+TAIL = 400
 
-#: Words of code that stand for themselves.
-KEYWORDS = (
-    "and as assert async await break case catch class const continue def default defer del elif else enum except export extends final finally for from func function go if implements import in "
-    "interface is lambda let map new nil none not null or package pass private protected public raise range return static struct super switch this throw throws try type var void while with yield"
-).split()
+#: Words, numbers, line ends and signs.
+TOKEN = r"[\p{L}_$][\p{L}\p{N}_$]*|[0-9]+(?:[.][0-9]+)*|\n(?:\s*\n)*|[^\s\p{L}_$]"
 
 MARK = r"\s*(?:…|\.{3}|\[(?:\.{3}|…)\]|\((?:\.{3}|…)\)|\[?(?:truncated|cut|snip)\]?|<(?:truncated|snip)>)\s*$"
 _MARK = re.compile(MARK, re.I)
 
+#: Every trigram as it stands, with its occurrences and those at the end of a text.
+_TRIGRAMS = """
+    SELECT family, t1, t2, t3, count(*) AS n, count_if(t4 IS NULL) AS final FROM (
+        SELECT family, inline(arrays_zip(tokens, slice(tokens, 2, size(tokens)), slice(tokens, 3, size(tokens)), slice(tokens, 4, size(tokens)))) AS (t1, t2, t3, t4)
+        FROM {t} WHERE size(tokens) >= 3)
+    WHERE t3 IS NOT NULL GROUP BY family, t1, t2, t3
+"""
 
-def frequent_words(values: DataFrame) -> list[str]:
-    """The most frequent words of all documentation; ``KEPT_WORDS`` of them reach the driver."""
-    sql = """
-        SELECT word FROM (SELECT explode(regexp_extract_all(lower(txt), '\\\\p{{L}}+', 0)) AS word FROM {v} WHERE field = 'docstring')
-        GROUP BY word ORDER BY count(*) DESC, word LIMIT {n}
-    """
-    return [r.word for r in values.sparkSession.sql(sql, v=values, n=KEPT_WORDS).collect()]
-
-
-def masked(values: DataFrame, words: list[str]) -> DataFrame:
-    """Values with their tokens, where words that are not kept are ``w`` and numbers ``0``."""
-    doc = "(?<![\\p{L}\\p{N}_])(?!(?:" + "|".join(map(re.escape, words or ["w"])) + ")(?![\\p{L}\\p{N}_]))[\\p{L}_$][\\p{L}\\p{N}_$]*"
-    code = "(?<![\\p{L}\\p{N}_$])(?!(?:" + "|".join(KEYWORDS) + ")(?![\\p{L}\\p{N}_$]))[\\p{L}_$][\\p{L}\\p{N}_$]*"
-    text = F.when(F.col("field") == "docstring", F.regexp_replace(F.lower("txt"), doc, "w")).otherwise(F.regexp_replace("txt", code, "w"))
-    text = F.regexp_replace(text, "[0-9]+(?:[.][0-9]+)*", "0")
-    return values.withColumn("tokens", F.regexp_extract_all(text, F.lit(r"[\p{L}_$][\p{L}\p{N}_$]*|0|\n(?:\s*\n)*|[^\s\p{L}_$]"), F.lit(0)))
+_VOCABULARY = """
+    SELECT family, t1 AS word FROM (SELECT family, t1, sum(n) AS n FROM {g} GROUP BY family, t1)
+    JOIN (SELECT family, sum(n) AS total FROM {g} GROUP BY family) USING (family) WHERE n >= {share} * total
+"""
 
 
-#: One pass over the tokens: counts of trigrams, and the final one of each value.
-_TRIGRAMS = r"""
-    SELECT field, family, trigram, CASE WHEN at = last THEN chunk_no END AS ends, count(*) AS n FROM (
-        SELECT chunk_no, field, family, size(tokens) - 3 AS last, posexplode(transform(sequence(0, size(tokens) - 3),
-            i -> concat(tokens[i], ' ', tokens[i + 1], ' ', tokens[i + 2]))) AS (at, trigram)
-        FROM {t} WHERE size(tokens) >= 3)
-    GROUP BY ALL
-"""
+def _classed(source: str) -> str:
+    """``source`` with the class of each of its three words as ``m1`` to ``m3``."""
+    kind = lambda i: f"CASE WHEN v{i}.word IS NOT NULL THEN t{i} WHEN t{i} RLIKE '^[0-9]' THEN '0' WHEN t{i} RLIKE '^[\\\\p{{{{L}}}}_$]' THEN 'w' ELSE t{i} END AS m{i}"
+    joins = " ".join(f"LEFT JOIN {{v}} v{i} ON x.family = v{i}.family AND t{i} = v{i}.word" for i in (1, 2, 3))
+    return f"SELECT /*+ BROADCAST(v1, v2, v3) */ x.*, {', '.join(map(kind, (1, 2, 3)))} FROM {source} x {joins}"
 
-_COUNTS = "SELECT field, family, trigram, sum(n) AS n, coalesce(sum(n) FILTER (WHERE ends IS NOT NULL), 0) AS final FROM {g} GROUP BY field, family, trigram"
 
-_ENDS = """
-    SELECT v.chunk_no, v.field, v.family, v.repo, v.chars, v.bytes, v.marked, f.trigram FROM {v} v
-    LEFT JOIN (SELECT ends AS chunk_no, field, trigram FROM {g} WHERE ends IS NOT NULL) f ON v.chunk_no = f.chunk_no AND v.field = f.field
-"""
+_CLASSES = f"SELECT family, m1, m2, m3, sum(n) AS n, sum(final) AS final FROM ({_classed('{g}')}) GROUP BY family, m1, m2, m3 HAVING sum(n) >= {{often}}"
 
-_CANDIDATES = """
+_CANDIDATES = f"""
     WITH lengths AS (
         SELECT repo, field, unit, length, count(*) AS n FROM (
-            SELECT repo, field, inline(array(struct('chars' AS unit, chars AS length), struct('bytes' AS unit, bytes AS length))) FROM {e}) GROUP BY ALL),
+            SELECT repo, field, inline(array(struct('chars' AS unit, chars AS length), struct('bytes' AS unit, bytes AS length))) FROM {{e}}) GROUP BY ALL),
     limits AS (
         SELECT repo, field, unit, length FROM (
-            SELECT *, sum(n) OVER (PARTITION BY repo, field, unit ORDER BY length RANGE BETWEEN {k} PRECEDING AND {k} FOLLOWING) - n AS around FROM lengths)
-        WHERE length >= {short} AND n >= {least} AND n * 2 * {k} >= {times} * around)
-    SELECT e.chunk_no, e.field, e.marked, coalesce(t.n >= {often} AND t.final < {never} * t.n, false) AS odd, c.length IS NOT NULL OR b.length IS NOT NULL AS limited
-    FROM {e} e
-    LEFT JOIN {g} t ON e.field = t.field AND e.family = t.family AND e.trigram = t.trigram
+            SELECT *, sum(n) OVER (PARTITION BY repo, field, unit ORDER BY length RANGE BETWEEN {{k}} PRECEDING AND {{k}} FOLLOWING) - n AS around FROM lengths)
+        WHERE length >= {{short}} AND n >= {{least}} AND n * 2 * {{k}} >= {{times}} * around)
+    SELECT e.chunk_no, e.field, e.marked, coalesce(r.final < {{never}} * r.n, t.final < {{never}} * t.n, false) AS odd, r.n IS NOT NULL AS as_it_stands,
+        c.length IS NOT NULL OR b.length IS NOT NULL AS limited
+    FROM ({_classed('{e}')}) e
+    LEFT JOIN (SELECT * FROM {{g}} WHERE final > 0 AND n >= {{often}}) r ON e.family = r.family AND e.t1 = r.t1 AND e.t2 = r.t2 AND e.t3 = r.t3
+    LEFT JOIN {{c}} t ON e.family = t.family AND e.m1 = t.m1 AND e.m2 = t.m2 AND e.m3 = t.m3
     LEFT JOIN (SELECT * FROM limits WHERE unit = 'chars') c ON e.repo <=> c.repo AND e.field = c.field AND e.chars = c.length
     LEFT JOIN (SELECT * FROM limits WHERE unit = 'bytes') b ON e.repo <=> b.repo AND e.field = b.field AND e.bytes = b.length
 """
 
 
+def _tokens(text):
+    return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+
+
 def values_of(chunks: DataFrame) -> DataFrame:
     """``(chunk_no, repo, family, field, txt)`` of all values; languages that end alike are one family."""
     family = F.when(F.col("language") == "python", "python").when(F.col("language").isin("go", "java", "javascript", "typescript"), F.col("language")).otherwise("other")
@@ -109,16 +105,21 @@ def values_of(chunks: DataFrame) -> DataFrame:
 
 
 def judged(chunks: DataFrame) -> DataFrame:
-    """``(chunk_no, field, marked, odd, limited)`` of every value."""
+    """``(chunk_no, field, marked, odd, as_it_stands, limited)`` of every value."""
     spark = chunks.sparkSession
     values = values_of(chunks)
-    tokens = masked(values, frequent_words(values))
-    grams = cut(spark.sql(_TRIGRAMS, t=tokens))
-    # a few thousand trigrams of word classes
-    trigrams = cut(spark.sql(_COUNTS, g=grams))
-    sizes = values.select("chunk_no", "field", "family", "repo", F.length("txt").alias("chars"), F.octet_length("txt").alias("bytes"), F.col("txt").rlike("(?i)" + MARK).alias("marked"))
-    ends = cut(spark.sql(_ENDS, v=sizes.dropDuplicates(["chunk_no", "field"]), g=grams))
-    return spark.sql(_CANDIDATES, e=ends, g=trigrams, k=NEIGHBOURS, least=LIMIT_VALUES, short=LEAST_LIMIT, times=LIMIT_TIMES, often=FREQUENT, never=ALMOST_NEVER)
+    text = F.when(F.col("field") == "docstring", F.lower("txt")).otherwise(F.col("txt"))
+    grams = cut(spark.sql(_TRIGRAMS, t=values.select("family", _tokens(text).alias("tokens"))))
+    # at most 1 / KEPT_SHARE words of each of a fixed number of families
+    words = cut(spark.sql(_VOCABULARY, g=grams, share=KEPT_SHARE))
+    classes = cut(spark.sql(_CLASSES, g=grams, v=words, often=FREQUENT))
+    tail = _tokens(F.substring(text, -TAIL, TAIL))
+    last = F.when(F.size(tail) > 3, tail).otherwise(_tokens(text))
+    ends = values.select("chunk_no", "field", "family", "repo", F.length("txt").alias("chars"), F.octet_length("txt").alias("bytes"), F.rtrim("txt", F.lit(" \t\r\n")).alias("bare"), last.alias("last"))
+    ends = ends.withColumn("marked", F.substring("bare", -32, 32).rlike("(?i)" + MARK)).drop("bare")
+    ends = ends.select("chunk_no", "field", "family", "repo", "chars", "bytes", "marked", *(F.try_element_at("last", F.lit(i - 4)).alias(f"t{i}") for i in (1, 2, 3)))
+    ends = cut(ends.dropDuplicates(["chunk_no", "field"]))
+    return spark.sql(_CANDIDATES, e=ends, g=grams, v=words, c=classes, k=NEIGHBOURS, least=LIMIT_VALUES, short=LEAST_LIMIT, times=LIMIT_TIMES, often=FREQUENT, never=ALMOST_NEVER)
 
 
 def candidates(judgements: DataFrame) -> DataFrame:
@@ -170,8 +171,8 @@ def doc_goes_on(doc: str, code: str, source: str, language: str) -> bool | None:
     if not have:
         return False
     known = None
-    before = source[max(0, at - 40 * len(doc) - 4000) : at].split("\n")
-    beside = [comment_above(before, len(before) - 1, language), *documentation_of(source[at : at + len(code) + 40 * len(doc) + 4000], language)]
+    before = source[:at].split("\n")
+    beside = [comment_above(before, len(before) - 1, language), *documentation_of(source[at:], language)]
     for whole in beside:
         w = _SKELETON.sub("", whole)
         if w.startswith(have):
