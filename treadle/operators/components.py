@@ -42,7 +42,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     e = cut(plain.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
     while True:
-        e = cut(_star(_star(e, True), False))
+        e = cut(_star(_star(e, True), False), e)
         # xor is enough to see a change: an unchanged edge set is a fixed point
         now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == before:

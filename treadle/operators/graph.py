@@ -251,15 +251,17 @@ def part_of_flow_link(spark, d):
     return g.select("repo", "entry", "flow", F.size("steps").alias("n_steps"), F.to_json("steps").alias("steps"), F.array_join(F.array_sort(F.array_distinct(F.col("steps.file"))), ",").alias("files"), F.array_join(F.array_sort(F.array_distinct(F.col("steps.package_name"))), ",").alias("packages"))
 
 
-def budgeted_expansion(seeds: DataFrame, n: DataFrame, e: DataFrame, budget: int = 4000, levels: int = 12) -> DataFrame:
+def budgeted_expansion(seeds: DataFrame, n: DataFrame, e: DataFrame, budget: int = 4000) -> DataFrame:
     """``(query_id, repo, id, position, tokens)``: expansion of seeds through the graph under a token budget.
 
     First in, first out: a node that does not fit is skipped and not expanded;
     an accepted one queues its neighbours by priority and id, then up to five
     others of its file while less than half of the budget is used; what was
-    queued once is never queued again. Levels are joins over all queries; inside
-    a level the greedy acceptance folds over the queue of each query, which is
-    no longer than what fits times its fan-out.
+    queued once is never queued again. Levels are joins over all queries, until no
+    queue is left. Inside a level the greedy acceptance folds over the queue of each
+    query. What is used only grows, so of nodes of one size the first that do not
+    fit end it: of each size only as many as the rest of the budget holds are folded,
+    and a hub of any degree gives no more than a budget's rows.
     """
     sized = n.select("repo", "id", "file", text.token_estimate(F.col("code")).alias("size"))
     near = neighbours(e).select("repo", "id", F.col("other").alias("next"), "priority")
@@ -267,10 +269,13 @@ def budgeted_expansion(seeds: DataFrame, n: DataFrame, e: DataFrame, budget: int
     way = cut(near.withColumn("kin", F.lit(False)).unionByName(kin.withColumn("kin", F.lit(True))))
     queue = cut(seeds.select("query_id", "repo", "id", F.col("at").cast("long").alias("at")).groupBy("query_id", "repo", "id").agg(F.min("at").alias("at")))
     seen, state, out = queue.select("query_id", "repo", "id"), None, None
-    for _ in range(levels):
+    while not queue.isEmpty():
         item = F.struct("at", "repo", "id", "size")
-        q = queue.join(sized, ["repo", "id"]).groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
+        q = queue.join(sized, ["repo", "id"])
         q = q.join(state, "query_id", "left") if state is not None else q.withColumn("used", F.lit(0)).withColumn("n", F.lit(0))
+        at = F.row_number().over(Window.partitionBy("query_id", "size").orderBy("at", "repo", "id"))
+        q = q.withColumn("of_size", at).where((F.col("size") == 0) | (F.col("of_size") * F.col("size") <= budget - F.coalesce("used", F.lit(0))))
+        q = q.groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("items"), F.max("used").alias("used"), F.max("n").alias("n"))
         start = F.struct(F.coalesce("used", F.lit(0)).alias("used"), F.coalesce("n", F.lit(0)).alias("n"), F.expr("cast(array() as array<struct<repo:string,id:string,position:int,tokens:int,kin:boolean>>)").alias("got"))
 
         def take(acc: Column, x: Column) -> Column:
@@ -287,10 +292,9 @@ def budgeted_expansion(seeds: DataFrame, n: DataFrame, e: DataFrame, budget: int
         more = more.groupBy("query_id", "repo", F.col("next").alias("id")).agg(F.min(F.struct("position", "priority")).alias("o"))
         more = more.join(seen, ["query_id", "repo", "id"], "left_anti").join(state.where(F.col("used") < budget).select("query_id"), "query_id", "left_semi")
         queue = cut(more.select("query_id", "repo", "id", F.row_number().over(Window.partitionBy("query_id").orderBy("o", "id")).cast("long").alias("at")))
-        if queue.isEmpty():
-            break
         seen = seen.unionByName(queue.select("query_id", "repo", "id"))
-    return out.select("query_id", "repo", "id", "position", "tokens")
+    empty = seeds.sparkSession.createDataFrame([], "query_id string, repo string, id string, position int, tokens int")
+    return out.select("query_id", "repo", "id", "position", "tokens") if out is not None else empty
 
 
 def siblings(n: DataFrame) -> DataFrame:

@@ -1,8 +1,11 @@
 """Nearest neighbours of a stated set of query vectors, exactly, in blocks.
 
-Rows are numbered into blocks of ``BLOCK``; query blocks meet every row block
-once, so that one task holds two blocks and returns the best of its pair, and a
-window ranks these. Distances are squared Euclidean in double precision.
+Query vectors of up to ``NUMBERS_SENT`` numbers are broadcast, and the rows stay where they are:
+each task keeps the best of its part for every query, and a window ranks what the
+tasks return. More queries and the rows are numbered into blocks of ``BLOCK``; query
+blocks meet every row block once, so that one task holds two blocks. Distances are
+squared Euclidean in double precision; a matrix product finds who may be among the
+best, with a margin for its rounding, and these are computed exactly.
 
 Defined results: null vectors are neither queries nor neighbours; ties go to the
 smaller id; fewer than ``k`` rows give fewer neighbours; an empty table gives an
@@ -22,6 +25,9 @@ from treadle.functions import text
 from treadle.session import cut, table
 
 BLOCK = 4096
+#: Numbers in the query vectors that are broadcast at most (32 MB), and queries that meet a block of rows at a time.
+NUMBERS_SENT = 1 << 22
+QUERY_BLOCK = 1024
 
 QUERIES, SQL = {}, {}
 
@@ -36,31 +42,69 @@ def query(sql=None):
     return add
 
 
+def _among(q_ids, q, r_ids, r, k: int) -> pd.DataFrame:
+    """The ``k`` nearest rows of each query; ties go to the smaller id."""
+    k = min(k, len(r))
+    q2, r2 = (q * q).sum(axis=1)[:, None], (r * r).sum(axis=1)
+    rough = q2 + r2 - 2 * (q @ r.T)
+    margin = 1e-9 * (q2 + r2.max())
+    at, of = np.nonzero(rough <= np.partition(rough, k - 1, axis=1)[:, k - 1 : k] + margin)
+    exact = ((r[of] - q[at]) ** 2).sum(axis=1)
+    order = np.lexsort((r_ids[of], exact, at))
+    at, of, exact = at[order], of[order], exact[order]
+    first = np.searchsorted(at, np.arange(len(q)))
+    keep = np.arange(len(at)) - first[at] < k
+    return pd.DataFrame({"query_id": q_ids[at[keep]], "id": r_ids[of[keep]], "distance": exact[keep]})
+
+
+def _matrix(v) -> np.ndarray:
+    return np.array(list(v), np.float64)
+
+
 def _best(k: int):
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"query_id": [], "id": [], "distance": []})
-        q, r = (np.array(x["v"].tolist(), np.float64) for x in (left, right))
-        ids, out = right["id"].to_numpy(), []
-        for i, qid in enumerate(left["id"].to_numpy()):
-            d = ((r - q[i]) ** 2).sum(axis=1)
-            near = np.flatnonzero(d <= np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1])
-            near = near[np.lexsort((ids[near], d[near]))][:k]
-            out.append(pd.DataFrame({"query_id": qid, "id": ids[near], "distance": d[near]}))
-        return pd.concat(out)
+        q_ids, q, r_ids, r = left["id"].to_numpy(), _matrix(left["v"]), right["id"].to_numpy(), _matrix(right["v"])
+        return pd.concat([_among(q_ids[b : b + QUERY_BLOCK], q[b : b + QUERY_BLOCK], r_ids, r, k) for b in range(0, len(q), QUERY_BLOCK)])
+
+    return run
+
+
+def _sent(k: int, queries):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        q_ids, q = queries.value
+        best = None
+        for pdf in batches:
+            for a in range(0, len(pdf), BLOCK):
+                part = pdf.iloc[a : a + BLOCK]
+                ids, r = part["id"].to_numpy(), _matrix(part["v"])
+                found = [_among(q_ids[b : b + QUERY_BLOCK], q[b : b + QUERY_BLOCK], ids, r, k) for b in range(0, len(q), QUERY_BLOCK)]
+                best = pd.concat([*found] if best is None else [best, *found])
+                best = best.sort_values(["query_id", "distance", "id"], kind="stable").groupby("query_id", sort=False).head(k)
+        if best is not None:
+            yield best
 
     return run
 
 
 def nearest(queries: DataFrame, rows: DataFrame, k: int = 10) -> DataFrame:
     """``(query_id, id, distance, rank)`` of ``queries(id, v)`` among ``rows(id, v)``."""
-    queries, rows = cut(queries.where("v is not null")), rows.where("v is not null")
-    n_q = max(1, -(-queries.count() // BLOCK))
-    n_r = max(1, -(-rows.count() // BLOCK))
-    place = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    q = queries.withColumn("qb", place(n_q)).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(n_r - 1))))
-    r = rows.withColumn("rb", place(n_r)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
-    pairs = q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb")).applyInPandas(_best(k), "query_id long, id long, distance double")
+    spark = rows.sparkSession
+    queries, rows = cut(queries.where("v is not null").select("id", "v")), rows.where("v is not null")
+    count, numbers = queries.agg(F.count("*"), F.coalesce(F.sum(F.size("v")), F.lit(0))).first()
+    schema = "query_id long, id long, distance double"
+    if 0 < numbers <= NUMBERS_SENT:
+        q = queries.toPandas()
+        sent = spark.sparkContext.broadcast((q["id"].to_numpy(), _matrix(q["v"])))
+        pairs = rows.select("id", "v").mapInPandas(_sent(k, sent), schema)
+    else:
+        n_q = max(1, -(-count // BLOCK))
+        n_r = max(1, -(-rows.count() // BLOCK))
+        place = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+        q = queries.withColumn("qb", place(n_q)).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(n_r - 1))))
+        r = rows.withColumn("rb", place(n_r)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
+        pairs = q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb")).applyInPandas(_best(k), schema)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
 
