@@ -217,7 +217,11 @@ def detect_flows(n: DataFrame, calls: DataFrame, steps: int = FLOW_STEPS, fan_ou
     entries = n.where("is_entry_point").select("repo", "id")
     inner = n.where("not coalesce(is_entry_point, false)").select("repo", F.col("id").alias("other"))
     step = calls.select("repo", F.col("src").alias("id"), F.col("dst").alias("other")).join(inner, ["repo", "other"], "left_semi")
-    step = cut(ranked(step, ["repo", "id"], ["other"], fan_out))
+    return ordered_walk(entries, cut(ranked(step, ["repo", "id"], ["other"], fan_out)), steps)
+
+
+def ordered_walk(entries: DataFrame, step: DataFrame, steps: int) -> DataFrame:
+    """``(repo, entry, step, id)``: first in, first out from every entry over ``step(repo, id, other, rank)``, up to ``steps`` nodes each."""
     seen = cut(entries.select("repo", F.col("id").alias("entry"), "id", F.lit(1).alias("step")))
     frontier = seen
     for _ in range(steps - 1):

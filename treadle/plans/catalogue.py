@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from treadle.operators import graph, hierarchy, orphans, parsing, projections, resolution, store, summaries, vector
+from treadle.operators import graph, hierarchy, levels, orphans, parsing, projections, resolution, store, summaries, vector
 
-MODULES = (orphans, hierarchy, projections, graph, resolution, vector, store, parsing, summaries)
+MODULES = (orphans, hierarchy, projections, graph, resolution, vector, store, parsing, summaries, levels)
 
 
 def queries():
