@@ -88,7 +88,7 @@ def test_budgeted_expansion(spark, seed):
     near: dict = {}
     for a, b in calls:
         near.setdefault(a, {})[b] = 1
-    n = spark.createDataFrame([("r", x, file[x], "c" * (4 * size[x])) for x in ids], "repo string, id string, file string, code string")
+    n = spark.createDataFrame([("r", x, file[x], size[x]) for x in ids], "repo string, id string, file string, size int")
     e = spark.createDataFrame([("r", a, b, "CALLS") for a, b in calls], "repo string, src string, dst string, rel string")
     seeds = spark.createDataFrame([("q", "r", ids[3], 1), ("q", "r", ids[9], 2), ("q", "r", "gone", 3)], "query_id string, repo string, id string, at int")
     got = graph.budgeted_expansion(seeds, n, e, budget=200).orderBy("position").collect()
@@ -96,6 +96,22 @@ def test_budgeted_expansion(spark, seed):
     assert sum(r.tokens for r in got) <= 200
 
 
+def test_expansion_of_a_long_chain_and_a_hub(spark):
+    """More levels than any limit, and a queue whose large nodes never fit."""
+    ids = [f"n{i:02d}" for i in range(17)]
+    hub = [f"h{i:03d}" for i in range(200)]
+    size = {x: 1 for x in ids} | {x: (i * 7) % 40 for i, x in enumerate(hub)}
+    calls = list(zip(ids, ids[1:])) + [(ids[-1], x) for x in hub]
+    near: dict = {}
+    for a, b in calls:
+        near.setdefault(a, {})[b] = 1
+    n = spark.createDataFrame([("r", x, x, size[x]) for x in ids + hub], "repo string, id string, file string, size int")
+    e = spark.createDataFrame([("r", a, b, "CALLS") for a, b in calls], "repo string, src string, dst string, rel string")
+    seeds = spark.createDataFrame([("q", "r", ids[0], 1)], "query_id string, repo string, id string, at int")
+    got = [r.id for r in graph.budgeted_expansion(seeds, n, e, budget=120).orderBy("position").collect()]
+    assert got == bfs(ids[:1], size, {x: x for x in size}, near, 120) and set(ids) < set(got)
+
+
 def test_flows(spark):
     n = spark.createDataFrame([("r", x, x.isupper()) for x in "ABcdefg"], "repo string, id string, is_entry_point boolean")
     e = spark.createDataFrame([("r", a, b) for a, b in ("Ac", "Ad", "AB", "ce", "cd", "df", "eA", "Bg", "fg")], "repo string, src string, dst string")

@@ -29,7 +29,7 @@ def query(sql=None):
     return add
 
 
-def nodes(spark: SparkSession, d: str, *cols: str) -> DataFrame:
+def nodes(spark: SparkSession, d: str, *cols: str | Column) -> DataFrame:
     return table(spark, d, "chunks").select("repo", "id", *cols).dropDuplicates(["repo", "id"])
 
 
@@ -256,7 +256,7 @@ def part_of_flow_link(spark, d):
 
 
 def budgeted_expansion(seeds: DataFrame, n: DataFrame, e: DataFrame, budget: int = 4000) -> DataFrame:
-    """``(query_id, repo, id, position, tokens)``: expansion of seeds through the graph under a token budget.
+    """``(query_id, repo, id, position, tokens)``: expansion of seeds through the graph under a token budget; ``n(repo, id, file, size)``.
 
     First in, first out: a node that does not fit is skipped and not expanded;
     an accepted one queues its neighbours by priority and id, then up to five
@@ -267,7 +267,7 @@ def budgeted_expansion(seeds: DataFrame, n: DataFrame, e: DataFrame, budget: int
     fit end it: of each size only as many as the rest of the budget holds are folded,
     and a hub of any degree gives no more than a budget's rows.
     """
-    sized = n.select("repo", "id", "file", text.token_estimate(F.col("code")).alias("size"))
+    sized = n.select("repo", "id", "size")
     near = neighbours(e).select("repo", "id", F.col("other").alias("next"), "priority")
     kin = siblings(n).select("repo", "id", F.col("sibling").alias("next"), F.lit(9).alias("priority"))
     way = cut(near.withColumn("kin", F.lit(False)).unionByName(kin.withColumn("kin", F.lit(True))))
@@ -310,6 +310,6 @@ def siblings(n: DataFrame) -> DataFrame:
 @query()
 def budgeted_bfs(spark, d):
     """One query per repository, seeded with its first three entry points."""
-    n = nodes(spark, d, "file", "code", "is_entry_point")
+    n = nodes(spark, d, "file", text.token_estimate(F.col("code")).alias("size"), "is_entry_point")
     seeds = ranked(n.where("is_entry_point"), ["repo"], ["id"], 3, "at").select(F.col("repo").alias("query_id"), "repo", "id", "at")
     return budgeted_expansion(seeds, n, edges(spark, d))

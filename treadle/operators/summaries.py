@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treadle.functions import text
-from treadle.operators.graph import budgeted_expansion, detect_flows, edges, linked, nodes, ranked
+from treadle.operators.graph import budgeted_expansion, detect_flows, edges, file_inbound_outbound, linked, nodes, ranked
 from treadle.session import cut, table
 
 RETRIES, CODE_CHARS, FLOW_CHARS, RENDERED = 3, 1500, 200, 30
@@ -69,9 +69,15 @@ def or_none(c):
     return F.coalesce(F.nullif(c, F.lit("")), F.lit("none"))
 
 
+def told(spark: SparkSession, d: str, *cols) -> DataFrame:
+    """Chunks with the digest of their code and what a prompt shows of them; the code itself is not shuffled."""
+    body = F.coalesce(F.nullif("docstring", F.lit("")), F.substring("code", 1, CODE_CHARS)).alias("body")
+    return nodes(spark, d, "name", "chunk_type", text.content_hash(F.col("code")).alias("digest"), body, *cols)
+
+
 def chunk_summaries(n: DataFrame, calls: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """``(repo, id, digest, summary)`` of chunks that are no modules; those in ``known(repo, id, digest)`` are skipped."""
-    c = n.where("chunk_type <> 'module'").withColumn("digest", text.content_hash(F.col("code")))
+    """``(repo, id, digest, summary)`` of chunks ``told`` that are no modules; those in ``known(repo, id, digest)`` are skipped."""
+    c = n.where("chunk_type <> 'module'")
     if known is not None:
         c = c.join(known, ["repo", "id", "digest"], "left_anti")
     label = n.select("repo", "id", "name")
@@ -79,27 +85,39 @@ def chunk_summaries(n: DataFrame, calls: DataFrame, known: DataFrame | None = No
     out = ranked(calls.select("repo", F.col("src").alias("id"), F.col("dst").alias("other")), ["repo", "id"], ["other"], 6)
     named = lambda x, col: _names(x.join(label.withColumnRenamed("id", "other"), ["repo", "other"]), ["repo", "id"], "name", col)
     j = c.join(named(into, "callers"), ["repo", "id"], "left").join(named(out, "callees"), ["repo", "id"], "left")
-    prompt = F.concat_ws("\n", F.concat(F.lit("Describe "), "chunk_type", F.lit(" "), "name"), F.concat(F.lit("Callers: "), or_none("callers")), F.concat(F.lit("Callees: "), or_none("callees")), F.lit("Text:"), F.coalesce(F.nullif("docstring", F.lit("")), F.substring("code", 1, CODE_CHARS)))
+    prompt = F.concat_ws("\n", F.concat(F.lit("Describe "), "chunk_type", F.lit(" "), "name"), F.concat(F.lit("Callers: "), or_none("callers")), F.concat(F.lit("Callees: "), or_none("callees")), F.lit("Text:"), F.col("body"))
     return summarise(j.withColumn("prompt", prompt), "prompt").select("repo", "id", "digest", "summary")
 
 
-def file_summaries(n: DataFrame, chunks: DataFrame) -> DataFrame:
+def file_summaries(n: DataFrame, chunks: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """``(repo, file, summary)``; ``links(repo, direction, file, other)`` names the files that a file calls and is called by."""
     j = n.where("chunk_type <> 'module' and file is not null").join(chunks, ["repo", "id"], "left")
     line = F.struct("start_line", "id", F.concat_ws(": ", "name", F.nullif("summary", F.lit(""))).alias("line"))
     g = j.groupBy("repo", "file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "\n").alias("body"))
-    return summarise(g.withColumn("prompt", F.concat(F.lit("File "), "file", F.lit("\nText:\n"), "body")), "prompt").select("repo", "file", "summary")
+    if links is None:
+        return summarise(g.withColumn("prompt", F.concat(F.lit("File "), "file", F.lit("\nText:\n"), "body")), "prompt").select("repo", "file", "summary")
+    by = lambda way: F.array_join(F.array_sort(F.collect_set(F.when(F.col("direction") == way, F.col("other")))), ", ").alias(way)
+    g = g.join(links.groupBy("repo", "file").agg(by("in"), by("out")), ["repo", "file"], "left")
+    prompt = F.concat(F.lit("File "), "file", F.lit("\nCalled by: "), or_none("in"), F.lit("\nCalls: "), or_none("out"), F.lit("\nText:\n"), "body")
+    return summarise(g.withColumn("prompt", prompt), "prompt").select("repo", "file", "in", "out", "summary")
 
 
 @query
 def chunk_context_summaries(spark, d):
-    n = nodes(spark, d, "name", "chunk_type", "code", "docstring")
-    return chunk_summaries(n, edges(spark, d, "CALLS"))
+    return chunk_summaries(told(spark, d), edges(spark, d, "CALLS"))
+
+
+@query
+def linked_file_summaries(spark, d):
+    """Files with the files they call and are called by, ten of each at most."""
+    n = told(spark, d, "file", "start_line")
+    return file_summaries(n, chunk_summaries(n, edges(spark, d, "CALLS")), file_inbound_outbound(spark, d))
 
 
 @query
 def package_summaries(spark, d):
     """Packages with their file summaries, dependencies and the stub's reply."""
-    n = nodes(spark, d, "name", "chunk_type", "code", "docstring", "file", "start_line", "package_name")
+    n = told(spark, d, "file", "start_line", "package_name")
     files = file_summaries(n, chunk_summaries(n, edges(spark, d, "CALLS")))
     own = n.where("package_name <> '' and chunk_type <> 'module'").select("repo", "package_name", "file").distinct().join(files, ["repo", "file"]).where("summary <> ''")
     g = own.groupBy("repo", "package_name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("file", "summary"))), lambda x: x["summary"]), "\n").alias("body"), F.count("*").alias("n_files"))
@@ -116,25 +134,40 @@ def flow_summaries(spark, d):
     return summarise(g.withColumn("prompt", F.concat(F.lit("Flow "), "flow", F.lit("\nText:\n"), "body")), "prompt").select("repo", "entry", "flow", F.substring("summary", 1, FLOW_CHARS).alias("summary"))
 
 
+LISTED_PACKAGES, LISTED_ENTRIES, LISTED_OUTSIDE = 10, 20, 20
+
+
 @query
 def codebase_summary(spark, d):
-    n = nodes(spark, d, "language", "chunk_type", "is_entry_point", "package_name")
-    g = n.groupBy("repo").agg(F.array_join(F.array_sort(F.collect_set(F.when(F.col("chunk_type") != "module", F.col("language")))), ", ").alias("languages"), F.count_if("is_entry_point").alias("n_entry_points"), F.array_join(F.array_sort(F.collect_set(F.nullif("package_name", F.lit("")))), ", ").alias("packages"))
-    g = g.withColumn("prompt", F.concat(F.lit("Repository "), "repo", F.lit("\nText:\nWritten in "), or_none("languages"), F.lit(". Packages: "), or_none("packages"), F.lit(".")))
-    return summarise(g, "prompt").select("repo", "languages", "n_entry_points", "summary")
+    """Languages, entry points, packages and outside packages of each repository; every list is bounded before it is collected."""
+    n = nodes(spark, d, "language", "chunk_type", "is_entry_point", "package_name", "name")
+
+    def first(df: DataFrame, col: str, limit: int, name: str) -> DataFrame:
+        return _names(ranked(df.select("repo", col).distinct(), ["repo"], [col], limit), ["repo"], col, name)
+
+    g = n.groupBy("repo").agg(F.count_if("is_entry_point").alias("n_entry_points"))
+    for part in (
+        first(n.where("chunk_type <> 'module' and language <> ''"), "language", 100, "languages"), first(n.where("package_name <> ''"), "package_name", LISTED_PACKAGES, "packages"),
+        first(n.where("is_entry_point"), "name", LISTED_ENTRIES, "entries"), first(tech_stack(spark, d), "from_path", LISTED_OUTSIDE, "outside"),
+    ):
+        g = g.join(part, "repo", "left")
+    said = F.concat(F.lit("\nText:\nWritten in "), or_none("languages"), F.lit(". Packages: "), or_none("packages"), F.lit(". Entry points: "), or_none("entries"), F.lit(". Uses: "), or_none("outside"), F.lit("."))
+    return summarise(g.withColumn("prompt", F.concat(F.lit("Repository "), "repo", said)), "prompt").select("repo", "languages", "n_entry_points", "packages", "entries", "outside", "summary")
 
 
-def answer(questions: DataFrame, seeds: DataFrame, n: DataFrame, e: DataFrame, budget: int = 4000) -> DataFrame:
+def answer(questions: DataFrame, seeds: DataFrame, n: DataFrame, e: DataFrame, codes: DataFrame, budget: int = 4000) -> DataFrame:
     """``(query_id, prompt)``: seeds without tests unless asked for, expanded under the budget, rendered in order.
 
     ``questions(query_id, question)``, ``seeds(query_id, repo, id, at)``; a query
-    whose expansion is empty is rendered from its seeds.
+    whose expansion is empty is rendered from its seeds. ``n`` has the ``size`` of
+    each chunk in tokens; only what is rendered is joined with ``codes(repo, id, code)``.
     """
     asked = seeds.join(questions.select("query_id", text.asks_for_tests(F.col("question")).alias("tests")), "query_id")
     kept = asked.join(n.select("repo", "id", "is_test"), ["repo", "id"]).where("tests or not coalesce(is_test, false)").select("query_id", "repo", "id", "at")
     found = cut(budgeted_expansion(kept, n, e, budget))
     rest = kept.join(found.select("query_id").distinct(), "query_id", "left_anti").select("query_id", "repo", "id", F.col("at").cast("int").alias("position"))
     shown = found.select("query_id", "repo", "id", "position").unionByName(rest).where(F.col("position") <= RENDERED).join(n, ["repo", "id"])
+    shown = shown.join(codes, ["repo", "id"]).dropDuplicates(["query_id", "repo", "id"])
     item = F.concat(F.lit("## "), F.col("position"), F.lit(". "), F.coalesce("name", F.lit("Unknown")), F.lit(" ("), F.coalesce("file", F.lit("Unknown")), F.lit(")\n"), text.or_empty(F.col("code")))
     ctx = shown.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "id", item.alias("item")))), lambda x: x["item"]), "\n\n").alias("context"))
     return questions.join(ctx, "query_id", "left").select("query_id", F.concat(F.lit("Question: "), "question", F.lit("\n\nText:\n"), F.coalesce("context", F.lit("Nothing was found."))).alias("prompt"))
@@ -143,10 +176,10 @@ def answer(questions: DataFrame, seeds: DataFrame, n: DataFrame, e: DataFrame, b
 @query
 def answer_prompts(spark: SparkSession, d: str):
     """One question per repository, seeded with its first entry points."""
-    n = nodes(spark, d, "name", "file", "code", "is_test", "is_entry_point")
+    n = nodes(spark, d, "name", "file", text.token_estimate(F.col("code")).alias("size"), "is_test", "is_entry_point")
     q = n.select(F.col("repo").alias("query_id")).distinct().withColumn("question", F.concat(F.lit("How does "), "query_id", F.lit(" work?")))
     seeds = ranked(n.where("is_entry_point"), ["repo"], ["id"], 20, "at").select(F.col("repo").alias("query_id"), "repo", "id", "at")
-    return summarise(answer(q, seeds, n, edges(spark, d)), "prompt", "reply").select("query_id", F.length("prompt").alias("prompt_chars"), "reply")
+    return summarise(answer(q, seeds, n, edges(spark, d), table(spark, d, "chunks").select("repo", "id", "code")), "prompt", "reply").select("query_id", F.length("prompt").alias("prompt_chars"), "reply")
 
 
 @query

@@ -157,6 +157,32 @@ def hashed_embedding(texts: Iterator[pd.Series], size: int = 64) -> Iterator[pd.
         yield pd.Series(out)
 
 
+def http_embedding(url: str, model: str, key: str | None = None, batch: int = 32, post=None):
+    """A provider behind an address: texts in batches, replies put in the order of their ``index``.
+
+    ``post(url, body, headers)`` returns the reply as JSON text; without one the standard library's client is used.
+    """
+    import json
+    import urllib.request
+
+    def send(to, body, headers):
+        with urllib.request.urlopen(urllib.request.Request(to, body.encode(), headers), timeout=60) as r:
+            return r.read().decode()
+
+    call = post or send
+    headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {key}"} if key else {})
+
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in texts:
+            out, inputs = [], [t or "" for t in part]
+            for a in range(0, len(inputs), batch):
+                reply = json.loads(call(url, json.dumps({"model": model, "input": inputs[a : a + batch]}), headers))
+                out += [x["embedding"] for x in sorted(reply["data"], key=lambda x: x["index"])]
+            yield pd.Series(out)
+
+    return run
+
+
 #: Embedding providers by name; a provider is an iterator function over batches of texts, so that a model is loaded once per task.
 EMBEDDERS = {"hashing": hashed_embedding}
 
