@@ -90,6 +90,37 @@ def test_edited_copies_on_a_shared_template(spark):
 KEY = "-----BEGIN RSA PRIVATE KEY-----\\n" + "Ab3/" * 20 + "\\n-----END RSA PRIVATE KEY-----"
 
 
+def test_recall_at_every_share_of_heavy_kmers(spark, monkeypatch):
+    """Edited copies at 0.6 and a little more, on a template that makes up any share of their k-mers."""
+    monkeypatch.setattr(near_dup, "HEAVY_LEAST", 5)
+    monkeypatch.setattr(near_dup, "HOT_CLASSES", 4)
+    rng = random.Random(11)
+    fresh = lambda n: [f"t{rng.getrandbits(40):x}" for _ in range(n)]
+    rows, groups = [], []
+    for share in (0, 0.2, 0.3, 0.4, 0.5, 0.59, 0.65, 0.8, 1):
+        for _ in range(25):
+            template, group = fresh(int(100 * share)), []
+            for _pair in range(3):
+                light = fresh(100 - len(template))
+                for side in range(2):
+                    keep = max(0, len(light) - (24 if side else 0))
+                    own = light[:keep] + fresh(len(light) - keep)
+                    rows.append(row(len(rows), repo=f"r{len(rows)}", code=" ".join(template + own)))
+                    group.append(len(rows) - 1)
+            groups.append((share, group))
+    got = {tuple(r) for r in near_dup.near_duplicates(frame(spark, rows).coalesce(1)).collect()}
+    sets = [shingles(r[8]) for r in rows]
+    true, hit = {}, {}
+    for share, group in groups:
+        for i, a in enumerate(group):
+            for b in group[i + 1 :]:
+                if 5 * len(sets[a] & sets[b]) >= 3 * len(sets[a] | sets[b]):
+                    true[share] = true.get(share, 0) + 1
+                    hit[share] = hit.get(share, 0) + ((a, b) in got)
+    assert all(hit[s] >= 0.99 * n for s, n in true.items()) and min(true.values()) >= 60
+    assert len(got) == sum(hit.values())
+
+
 def test_credentials(spark):
     secret = "fi4_BEq8mMXkcN"
     rows = [
