@@ -169,12 +169,6 @@ def external_dep_names(spark, d):
     return i.groupBy("repo", "dep").agg(F.count("*").alias("n"))
 
 
-@query("select repo, path, regexp_extract(content, '^(\\s|//[^\\n]*\\n)*package[ \\t]+(\\w+)', 2) package from (select distinct repo, path, content from source_files where content is not null and path like '%.go') where regexp_matches(content, '^(\\s|//[^\\n]*\\n)*package[ \\t]+(\\w+)') and not regexp_matches(content, '^(\\s|//[^\\n]*\\n)*/\\*')")
-def package_clause_extract(spark, d):
-    s = table(spark, d, "source_files").where("content is not null and path like '%.go'").distinct().where(~F.col("content").rlike(r"\A(\s|//[^\n]*\n)*/\*"))
-    return s.select("repo", "path", text.package_clause(F.col("content")).alias("package")).where("package is not null")
-
-
 @query(r"select repo, path, regexp_extract(content, '^(\s|//[^\n]*\n|/\*(?:[^*]|\*+[^*/])*\*+/)*package[ \t]+(\w+)', 2) package from (select distinct repo, path, content from source_files where content is not null and path like '%.go') where regexp_matches(content, '^(\s|//[^\n]*\n|/\*(?:[^*]|\*+[^*/])*\*+/)*package[ \t]+(\w+)')")
 def package_clause_any_header(spark, d):
     """Of all Go files, those that begin with a block comment as well."""

@@ -75,14 +75,6 @@ def has_repo(df: DataFrame, repo: str) -> bool:
 _N = "(select distinct on (chunk_no) * from chunks)"
 
 
-@query("select doc_id, coalesce(n.text, o.text) as text, case when n.doc_id is null then 'old' else 'new' end origin from (select doc_id, text from documents where doc_id % 3 <> 0) o full join (select doc_id, substr(text, 1, 40) as text from documents where doc_id % 2 = 0) n using (doc_id)")
-def upsert_by_id(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    old = docs.where("doc_id % 3 <> 0").withColumn("origin", F.lit("old"))
-    new = docs.where("doc_id % 2 = 0").select("doc_id", F.substring("text", 1, 40).alias("text"), F.lit("new").alias("origin"))
-    return upserted(old, new, ["doc_id"])
-
-
 @query("select repo, id, code, loaded_at, case when n > 1 then 'new' else 'old' end origin from (select *, row_number() over (partition by repo, id order by loaded_at desc) r, count(*) over (partition by repo, id) n from chunks) where r = 1")
 def upsert_redelivered(spark, d):
     """All chunks with their whole code: the first deliveries, upserted with the later ones."""
@@ -93,11 +85,12 @@ def upsert_redelivered(spark, d):
     return upserted(old, new, ["repo", "id"], "loaded_at")
 
 
-@query(f"select c.chunk_no, substr(md5(code),1,8) digest from {_N} c where code is not null and not exists (select 1 from {_N} o where o.chunk_no = c.chunk_no and month(o.indexed_at) % 2 = 0)")
+@query(f"select c.chunk_no, substr(md5(code),1,8) digest from {_N} c where code is not null and not coalesce(date_trunc('month', indexed_at) < (select date_trunc('month', max(indexed_at)) from chunks), false)")
 def incremental_changed_only(spark, d):
-    """Chunks whose hash is not in the state of an earlier run (here: those indexed in even months)."""
-    c = table(spark, d, "chunks").select("chunk_no", text.content_hash(F.col("code")).alias("digest"), "indexed_at").dropDuplicates(["chunk_no"])
-    state = c.where("month(indexed_at) % 2 = 0").select("chunk_no", "digest")
+    """Chunks whose hash is not in the state of an earlier run (here: one at the end of the month before the last)."""
+    c = table(spark, d, "chunks").select("chunk_no", text.content_hash(F.col("code")).alias("digest"), F.date_trunc("month", "indexed_at").alias("month")).dropDuplicates(["chunk_no"])
+    last = c.agg(F.max("month").alias("last"))
+    state = c.join(F.broadcast(last), F.col("month") < F.col("last"), "left_semi").select("chunk_no", "digest")
     return c.where("digest is not null").join(state, ["chunk_no", "digest"], "left_anti").select("chunk_no", "digest")
 
 
