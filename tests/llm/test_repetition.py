@@ -37,6 +37,18 @@ def test_lines(spark):
     assert rp.repetitive(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_lines_that_recur_in_the_corpus(spark):
+    """In any language, whatever their numbers; lines of few documents are none."""
+    footer = "Siehe auch die Hinweise auf Seite {}."
+    rows = [(i, f"Der Satz Nummer {'x' * i} steht nur hier.\n{footer.format(i)}\n") for i in range(12)]
+    rows += [(50 + i, f"Nur {'y' * i} wenige haben das.\nEine Zeile von dreien hier.") for i in range(3)] + [(90, None), (91, "")]
+    df = spark.createDataFrame(rows + rows[:2] + [(None, footer.format(3))], "doc_id long, text string")
+    got = {}
+    for r in rp.cleaned(df).collect():
+        got.setdefault(r.doc_id, []).append(r.n_boilerplate)
+    assert got == {i: [1, 1] if i < 2 else [1] for i in range(12)} | {50 + i: [0] for i in range(3)} | {90: [0], 91: [0], None: [0]}
+
+
 def test_found_from_judged_lines(monkeypatch):
     seen = []
     monkeypatch.setattr(rp, "judged_lines", lambda t, judge=rp.judged_lines: seen.append(t) or judge(t))

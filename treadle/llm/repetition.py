@@ -6,7 +6,12 @@ whether it is boilerplate. What fails is removed, and a document that loses too
 of its text is rejected. The repetition rule removes of each line the words that are
 repeated, the others the whole line. ``p10_found`` are the documents that are rejected
 for their losses by the repetition rule alone, ``p10_cleaned`` shows the losses by all
-rules. One pass over the text, in Arrow batches; nothing is shuffled.
+rules. One pass over the text, in Arrow batches; for ``p10_found`` nothing is shuffled.
+
+What is boilerplate is told by phrases and, in ``p10_cleaned``, by the corpus, in any
+language: a line (numbers and case aside) of at least ``RECUR_DOCUMENTS`` documents and
+``RECUR_SHARE`` of all. Lines are counted by hash, first per task, and looked up by a
+join, so that no line is one group.
 
 Words are the maximal runs of Unicode letters and digits in the lower-cased
 text. A word is repeated if it lies in a window of five consecutive words whose
@@ -27,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from treadle.session import table
+from treadle.session import cut, table
 
 WINDOW = 5
 #: A document is rejected if the repetition rule removes this share of its words, in tenths, to compare whole numbers.
@@ -37,7 +42,11 @@ LINE_SHARE = 0.5
 #: A document is rejected if cleaning removes more than this share of its words.
 LOSS_SHARE = 0.5
 
+#: Documents that have a line, at least, and their share, from which on it is boilerplate; shorter lines are not counted.
+RECUR_DOCUMENTS, RECUR_SHARE, RECUR_WORDS = 10, 0.001, 3
+
 _WORDS = re.compile(r"[^\W_]+").findall
+_DIGITS = re.compile(r"\d+").sub
 _ENDS = tuple(".!?:;…。！？：；)]}\"'`”»,")
 _MENU = re.compile(r"\s[|>»›·](?=\s)")
 _NAVIGATION = re.compile(r"^\s*(?:home|next|previous|prev|back|top|menu|skip to|index|contents)\b[^.]{0,30}$", re.I)
@@ -80,20 +89,32 @@ def judged_lines(text: str) -> list[tuple[int, int, bool, bool, bool]]:
     return out
 
 
-_LINE = T.StructType([T.StructField("words", T.IntegerType()), T.StructField("repeated", T.IntegerType()), *(T.StructField(c, T.BooleanType()) for c in ("open_end", "navigation", "boilerplate"))])
+def line_keys(text: str) -> list[int | None]:
+    """A number for each line, the same for lines that differ in numbers, case and white space only; null for short ones."""
+    import xxhash
+
+    out = []
+    for line in text.split("\n"):
+        words = _WORDS(_DIGITS("0", line.lower()))
+        out.append(xxhash.xxh3_64_intdigest(" ".join(words)) - (1 << 63) if len(words) >= RECUR_WORDS else None)
+    return out
+
+
+_LINE = T.StructType([T.StructField("words", T.IntegerType()), T.StructField("repeated", T.IntegerType()), *(T.StructField(c, T.BooleanType()) for c in ("open_end", "navigation", "boilerplate")), T.StructField("key", T.LongType())])
 
 
 def _judge(full: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = pa.struct([("words", pa.int32()), ("repeated", pa.int32()), ("open_end", pa.bool_()), ("navigation", pa.bool_()), ("boilerplate", pa.bool_())])
+        kinds = pa.struct([("words", pa.int32()), ("repeated", pa.int32()), ("open_end", pa.bool_()), ("navigation", pa.bool_()), ("boilerplate", pa.bool_()), ("key", pa.int64())])
         for batch in batches:
             lines = [judged_lines(t) if t else [] for t in batch.column(1).to_pylist()]
             totals = [(sum(x[0] for x in ls), sum(x[1] for x in ls)) for ls in lines]
             cols = [batch.column(0), pa.array([a for a, _ in totals], pa.int64()), pa.array([b for _, b in totals], pa.int64())]
             names = ["id", "n_words", "n_repeated"]
             if full:
-                keys = ("words", "repeated", "open_end", "navigation", "boilerplate")
-                cols.append(pa.array([[dict(zip(keys, x)) for x in ls] for ls in lines], pa.list_(kinds)))
+                names_ = ("words", "repeated", "open_end", "navigation", "boilerplate", "key")
+                keyed = (line_keys(t) if t else [] for t in batch.column(1).to_pylist())
+                cols.append(pa.array([[dict(zip(names_, (*x, k))) for x, k in zip(ls, ks)] for ls, ks in zip(lines, keyed)], pa.list_(kinds)))
                 names.append("lines")
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
@@ -114,11 +135,25 @@ def repetitive(documents: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     return line_records(documents, doc_id, full=False).where((F.col("n_words") > 0) & (F.col("n_repeated") * 10 >= F.col("n_words") * TENTHS)).select(doc_id).distinct()
 
 
+def recurring(records: DataFrame, doc_id: str) -> DataFrame:
+    """``(doc_id, recurring)``: the keys of each document's lines that recur in the corpus."""
+    keys = records.select(doc_id, F.explode(F.array_distinct(F.transform("lines", lambda x: x["key"]))).alias("key")).where("key is not null").distinct()
+    total = records.agg(F.count_distinct(doc_id)).first()[0]
+    often = keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= max(RECUR_DOCUMENTS, RECUR_SHARE * total)).select("key")
+    return keys.join(often, "key", "left_semi").groupBy(doc_id).agg(F.collect_list("key").alias("recurring"))
+
+
 def cleaned(documents: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """Per row: lines, lines that fail each rule, the share of words lost with them, and whether the document is rejected."""
+    r = cut(line_records(documents, doc_id))
+    again = recurring(r, doc_id).withColumnRenamed(doc_id, "_of")
+    r = r.join(again, r[doc_id] == again["_of"], "left").drop("_of")
+    common = lambda x: F.coalesce(F.array_contains("recurring", x["key"]), F.lit(False))
+    fixed = lambda x: F.struct(*(x[c].alias(c) for c in ("words", "repeated", "open_end", "navigation")), (x["boilerplate"] | common(x)).alias("boilerplate"))
+    r = r.withColumn("lines", F.transform("lines", fixed))
     bad = lambda x: (x["words"] > 0) & ((x["repeated"] >= x["words"] * LINE_SHARE) | x["open_end"] | x["navigation"] | x["boilerplate"])
     total = lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x["words"])
-    r = line_records(documents, doc_id).withColumn("lost", total(F.filter("lines", bad)))
+    r = r.withColumn("lost", total(F.filter("lines", bad)))
     count = lambda f: F.size(F.filter("lines", f))
     return r.select(
         doc_id, "n_words", "n_repeated", F.size("lines").alias("n_lines"), count(bad).alias("n_removed"),
