@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from treadle.functions import paths, text
 from treadle.operators.graph import _N, nodes
-from treadle.session import absent, table
+from treadle.session import absent, cut, table
 
 # File endings that are tried per language.
 EXTENSIONS = {
@@ -100,7 +100,7 @@ def resolve_general(n: DataFrame, roots=ROOTS, members: bool = MEMBERS) -> DataF
     """``(repo, id, call, target, rule)`` of the calls outside Go that a rule resolves."""
     found = lambda name: F.try_element_at("imports_map", F.col(name))["from_path"]
     k = _calls(n.where("language <> 'go'")).withColumn("dir", paths.parent_dir(F.col("file"))).withColumn("from_kind", found("kind")).withColumn("from_name", found("call")).drop("imports_map")
-    files = import_files(n, roots, members)
+    files = cut(import_files(n, roots, members))
     by = lambda way: files.select("repo", "language", "dir", F.col("from_path").alias(f"from_{way}"), F.col("src").alias(f"src_{way}"))
     for way in ("kind", "name"):
         k = k.join(by(way), ["repo", "language", "dir", f"from_{way}"], "left")
@@ -195,7 +195,8 @@ def resolve_imports(n: DataFrame, modules: DataFrame, roots=ROOTS, members: bool
 
 
 def _all(spark, d) -> DataFrame:
-    return nodes(spark, d, "name", "file", "language", "start_line", "parent", "package_name", "chunk_type", "imports_map", "calls_with_context")
+    """Each chunk once; written, because every rule reads other columns of it."""
+    return cut(nodes(spark, d, "name", "file", "language", "start_line", "parent", "package_name", "chunk_type", "imports_map", "calls_with_context"))
 
 
 def _sql(roots: tuple[str, ...] = ROOTS, members: bool = MEMBERS) -> str:
