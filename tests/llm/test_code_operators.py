@@ -217,6 +217,44 @@ def test_minima_against_brute_force(spark):
     assert len(got) == len(set(got)) and set(got) == want and 0 < len(want) < len(files)
 
 
+def test_copies_by_all_fingerprints(spark):
+    """Edited copies close to the threshold, held against all pairs of files with all their fingerprints."""
+    rng = random.Random(12)
+    line = lambda: f"    v{rng.randrange(10**6)} = call{rng.randrange(10**6)}(x) + [k{rng.randrange(9)}] - 'a' * w{rng.randrange(99)}"
+    rows = []
+    for b in range(20):
+        base = [line() for _ in range(40)]
+        for i in range(4):
+            at = rng.randrange(30, 38)
+            rows.append(row(10 * b + i, repo=f"o{i}__x{b}", file=f"core/f{b}_{i}.py", code="\n".join(base[:at] + [line() for _ in range(rng.randrange(36, 46) - at)])))
+    memo = handwritten._Hashes()
+    sets = {r[5]: (r[1].split("__")[0], set(handwritten.fingerprints(r[8], memo).tolist())) for r in rows}
+    alike = lambda a, b: len(a & b) >= handwritten.SHARED * len(a | b)
+    want = {f for f, (o, s) in sets.items() if len({o} | {p for p, t in sets.values() if alike(s, t)}) >= handwritten.OWNERS}
+    got = {r.file for r in handwritten.file_judgements(frame(spark, rows + rows[:5])).where("copied").collect()}
+    assert got == want and 20 < len(want) < len(rows)
+
+
+def test_copies_of_many_owners_and_few(spark):
+    """Forks of one owner stand between the copies of others; many copies of one file; the files of one owner alone."""
+    rng = random.Random(13)
+    new = lambda n: [rng.getrandbits(63) for _ in range(n)]
+    files = []
+    for b in range(12):
+        base, stock = new(60), new(4)
+        for i in range([6, 30, 60][b % 3]):
+            # most by two owners, a few by others
+            owner = rng.choice([1, 2] * 6 + [3, 4, 5][: b % 4])
+            own = rng.sample(base, rng.choice([44, 50, 56, 60])) + stock + new(rng.choice([0, 0, 5, 15, 40]))
+            files.append((len(files), owner, own))
+        files += [(len(files) + i, owner, list(files[-1][2])) for i, owner in enumerate([1, 1, 2, 2, 3][: b % 6])]
+        files += [(len(files) + i, i, stock + new(2)) for i in range(3)]
+    sets = [(f, o, set(s)) for f, o, s in files]
+    want = {f for f, o, s in sets if len({o} | {p for _, p, t in sets if len(s & t) >= handwritten.SHARED * len(s | t)}) >= handwritten.OWNERS}
+    got = [r.f for r in handwritten.copies(spark.createDataFrame(files, "f long, owner long, found array<long>")).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and 0 < len(want) < len(files)
+
+
 def test_copies_without_names_and_banners(spark):
     """Edited copies of similar sizes with neutral names count; large files that hold the same function do not."""
     rng = random.Random(9)

@@ -3,17 +3,20 @@
 Every chunk is read once. Its leading comments, the shapes of its lines and its
 dense long lines tell generated, minified and data files. Its normalised token
 stream (comments and string contents dropped, names kept, numbers as one token)
-is fingerprinted by winnowing. Of all fingerprints of a file the least under each of
-``MINIMA`` permutations are kept; two files have the same one as often as they have
-fingerprints in common out of those of either, so a small file does not match a
-large one that holds it, nor a large one the function it copied. A file of whose
-minima most recur with ``OWNERS`` unrelated owners is a vendored copy, whatever it is
-called and whatever it says. Repositories of one owner are related. Copies too rare
-to recur are told by what their leading comment or the directory they are kept in
-says.
-
-The minima are grouped by hash, and of each group only distinct owners are counted,
-first per task and then by both keys; no group is collected and no pair is formed.
+is fingerprinted by winnowing. Two files are alike if they have ``SHARED`` of the
+fingerprints of either in common, all of them counted, so a small file is not like a
+large one that holds it, nor a large one like the file whose function it copied. A
+file with files like it of ``OWNERS`` unrelated owners, its own included, is a
+vendored copy, whatever it is called and whatever it says. Repositories of one owner
+are related. Copies too rare to recur are told by what their leading comment or the
+directory they are kept in says.
+
+Files that are alike have a fingerprint in common even among the rarest of each, as
+many as leave too few for ``SHARED``; only files that meet there are compared, first
+with their ``NEAR`` neighbours by size. What that leaves undecided is compared with
+all files it meets of owners not yet found, so that no pair is left out and many
+copies of one file do not all meet each other. Of owners no more than ``OWNERS`` are
+kept where their number decides.
 
 Defined results: null ``repo`` or ``file`` make no file; null and empty code and
 ``block`` chunks (configuration) count nothing; rows delivered twice count once,
@@ -29,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from treadle.llm.near_dup import _A, _C, _Hashes, mix
@@ -37,10 +40,12 @@ from treadle.session import cut, table
 
 #: Tokens of a fingerprint, and the window of fingerprints of which the least is kept.
 KMER, WINDOW = 8, 6
-#: Permutations of a file's fingerprints.
+#: Permutations of ``minima``.
 MINIMA = 64
-#: Unrelated owners, the file's own included, from which on a minimum recurs, and the share of a file's minima.
+#: Unrelated owners, the file's own included, that have files alike, and the share in common of the fingerprints of either.
 OWNERS, SHARED = 3, 0.6
+#: Neighbours that a file is compared with first, of those it meets by one fingerprint.
+NEAR = 4
 #: A file needs so many fingerprints to be judged by them.
 LEAST_PRINTS = 4
 #: Share of lines of one shape, and the least number of lines, of generated tables and data.
@@ -151,30 +156,81 @@ def minima(prints: np.ndarray) -> np.ndarray:
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     memo = _Hashes()
     for batch in batches:
-        rows, prints, least = [], [], []
+        rows, prints = [], []
         for code in batch.column("code").to_pylist():
             head = leading_comment(code)
             n, top, chars, dense = shapes(code)
             rows.append((bool(_GENERATED.search(head)), bool(_VENDORED.search(head)), bool(_BANNER.match(code)) and dense > 0, n, top, chars, dense))
-            found = fingerprints(code, memo)
-            prints.append(len(found))
-            least.append(minima(found))
+            prints.append(fingerprints(code, memo))
         cols = [batch.column(c) for c in ("repo", "file", "chunk_no", "first")]
         kinds = (pa.bool_(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
         cols += [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
-        cols.append(pa.array(prints, pa.int32()))
-        cols.append(pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * MINIMA, pa.int32()), pa.array(np.concatenate(least) if least else np.zeros(0, np.int64))))
-        yield pa.RecordBatch.from_arrays(cols, names=["repo", "file", "chunk_no", "first", "generated", "vendored", "banner", "lines", "top", "chars", "dense", "prints", "minima"])
+        sizes = [len(found) for found in prints]
+        cols.append(pa.array(sizes, pa.int32()))
+        cols.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.uint64), *prints]).view(np.int64))))
+        yield pa.RecordBatch.from_arrays(cols, names=["repo", "file", "chunk_no", "first", "generated", "vendored", "banner", "lines", "top", "chars", "dense", "prints", "found"])
 
 
 def copied_files(files: DataFrame) -> DataFrame:
-    """``(f, copied)`` of the files ``(f, owner, minima)`` of whose minima most recur with ``OWNERS`` owners."""
+    """``(f, copied)`` of the files ``(f, owner, minima)`` of whose minima most recur with ``OWNERS`` owners; an estimate that no query uses."""
     keys = files.select("f", "owner", F.posexplode("minima").alias("i", "m")).select("f", "owner", F.xxhash64("i", "m").alias("key"))
     often = keys.select("key", "owner").distinct().groupBy("key").agg(F.count("*").alias("owners")).where(F.col("owners") >= OWNERS).select("key")
     shared = keys.select("f", "key").join(often, "key", "left_semi").groupBy("f").agg(F.count("*").alias("n"))
     return shared.where(F.col("n") >= MINIMA * SHARED).select("f", F.lit(True).alias("copied"))
 
 
+def _owners(c):
+    """The least ``OWNERS`` of the distinct owners of a group: whether there are so many stays exact when such lists are united."""
+    return F.slice(F.array_sort(F.collect_set(c)), 1, OWNERS)
+
+
+def copies(files: DataFrame) -> DataFrame:
+    """``(f, copied)`` of the files ``(f, owner, found)`` that are like files of ``OWNERS`` owners, their own included."""
+    need = F.ceil(F.col("n") * SHARED)
+    keys = files.select("f", "owner", F.explode("found").alias("x"))
+    often = keys.groupBy("x").agg(F.count("*").alias("often"), F.min("owner").alias("lo"), F.max("owner").alias("hi")).where("lo <> hi").select("x", "often")
+    of = keys.select("f", "x").join(often, "x").groupBy("f").agg(F.sort_array(F.collect_list(F.struct("often", "x"))).alias("s"))
+    shared = files.select("f", "owner", F.size("found").alias("n")).join(of, "f").where(F.size("s") >= need).select("f", "owner", "n", F.col("s.x").alias("s"))
+    # files with the same fingerprints are one class; what one owner alone has counts by its number only
+    shared = cut(shared.withColumn("c", F.xxhash64("n", "s", F.when(F.size("s") < F.col("n"), F.col("owner")))))
+    classes = cut(shared.groupBy("c").agg(F.first("n").alias("n"), F.first("s").alias("s"), _owners("owner").alias("owners")))
+
+    # fingerprints of one owner alone are the rarest, so they come before those of ``s``
+    rows = classes.select("c", "n", "owners", F.size("s").alias("m"), F.posexplode(F.slice("s", 1, F.size("s") - need.cast("int") + 1)).alias("i", "x"))
+    rows = rows.withColumn("rest", F.col("m") - F.col("i")).drop("m", "i")
+    held = rows.select("x", F.explode("owners").alias("o")).groupBy("x").agg(_owners("o").alias("held")).where(F.size("held") > 1)
+    rows = rows.join(held, "x")
+    reach = rows.select("c", F.explode("held").alias("o")).groupBy("c").agg(F.size(_owners("o")).alias("reach"))
+    rows = cut(rows.join(reach, "c").withColumn("open", (F.size("owners") < OWNERS) & (F.col("reach") >= OWNERS)).drop("reach"))
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        one, two = classes.select("c", "n", "s"), classes.select(F.col("c").alias("g"), F.col("n").alias("gn"), F.col("s").alias("gs"))
+        both = pairs.distinct().join(one, "c").join(two, "g").withColumn("i", F.size(F.array_intersect("s", "gs")))
+        return both.where(F.col("i") >= (F.col("n") + F.col("gn") - F.col("i")) * SHARED).select("c", "g")
+
+    def known(similar: DataFrame) -> DataFrame:
+        of = similar.join(classes.select(F.col("c").alias("g"), F.explode("owners").alias("o")), "g").select("c", "o")
+        return of.union(classes.select("c", F.explode("owners").alias("o"))).groupBy("c").agg(_owners("o").alias("known"))
+
+    # two files have no more in common than either has from the first on at which they meet
+    most = F.least("rest", "grest")
+    sizes = (F.col("gn") >= F.col("n") * SHARED) & (F.col("n") >= F.col("gn") * SHARED) & (most >= (F.col("n") + F.col("gn") - most) * SHARED)
+    w = Window.partitionBy("x").orderBy("n", "c")
+    next_ones = F.array(*(F.lead(F.struct("c", "n", "owners", "open", "rest"), i).over(w) for i in range(1, NEAR + 1)))
+    near = rows.withColumn("next", next_ones).select("c", "n", "owners", "open", "rest", F.explode("next").alias("r")).where("r is not null")
+    near = near.select("c", "n", "owners", "open", "rest", *(F.col(f"r.{a}").alias(b) for a, b in (("c", "g"), ("n", "gn"), ("owners", "go"), ("open", "gopen"), ("rest", "grest"))))
+    near = near.where((F.col("open") | F.col("gopen")) & (F.size(F.array_union("owners", "go")) > 1) & sizes)
+    first = cut(alike(near.select("c", "g")))
+    first = first.union(first.select(F.col("g").alias("c"), F.col("c").alias("g")))
+    so_far = cut(known(first))
+
+    left = rows.where("open").join(so_far, "c").where((F.size("known") < OWNERS) & (F.size(F.array_except("held", "known")) > 0)).select("x", "c", "n", "rest", "known")
+    others = left.join(rows.select("x", *(F.col(a).alias(b) for a, b in (("c", "g"), ("n", "gn"), ("owners", "go"), ("rest", "grest")))), "x")
+    others = alike(others.where((F.col("c") != F.col("g")) & sizes & (F.size(F.array_except("go", "known")) > 0)).select("c", "g"))
+    found = known(first.union(others)).where(F.size("known") >= OWNERS).select("c")
+    return shared.join(found, "c").select("f", F.lit(True).alias("copied"))
+
+
 def file_judgements(chunks: DataFrame) -> DataFrame:
     """``(repo, file, generated, minified, data, vendored)`` of each source file."""
     # classes hold the code of their members; top-level chunks make up the file
@@ -182,17 +238,16 @@ def file_judgements(chunks: DataFrame) -> DataFrame:
         "repo is not null and file is not null and code is not null and code <> '' and coalesce(chunk_type, '') <> 'block' and coalesce(parent, '') = ''"
     ).select("repo", "file", "chunk_no", (F.coalesce("start_line", F.lit(1)) <= 3).alias("first"), "code")
     types = {f.name: f.dataType.simpleString() for f in rows.schema}
-    schema = f"repo {types['repo']}, file {types['file']}, chunk_no {types['chunk_no']}, first boolean, generated boolean, vendored boolean, banner boolean, lines long, top long, chars long, dense long, prints int, minima array<long>"
+    schema = f"repo {types['repo']}, file {types['file']}, chunk_no {types['chunk_no']}, first boolean, generated boolean, vendored boolean, banner boolean, lines long, top long, chars long, dense long, prints int, found array<long>"
     seen = cut(rows.mapInArrow(_features, schema))
     owner = F.lower(F.regexp_replace("repo", "__.*", ""))
 
-    least = F.array(*(F.min(F.element_at("minima", i + 1)) for i in range(MINIMA)))
     one = seen.dropDuplicates(["chunk_no"]).groupBy("repo", "file").agg(
         F.max(F.col("generated") & F.col("first")).alias("generated"), F.max(F.col("vendored") & F.col("first")).alias("said"), F.max("banner").alias("banner"),
-        F.sum("lines").alias("lines"), F.sum("top").alias("top"), F.sum("chars").alias("chars"), F.sum("dense").alias("dense"), F.sum("prints").alias("prints"), least.alias("minima"),
+        F.sum("lines").alias("lines"), F.sum("top").alias("top"), F.sum("chars").alias("chars"), F.sum("dense").alias("dense"), F.sum("prints").alias("prints"), F.array_distinct(F.flatten(F.collect_list("found"))).alias("found"),
     )
     one = cut(one.withColumn("f", F.xxhash64("repo", "file")))
-    share = copied_files(one.where(F.col("prints") >= LEAST_PRINTS).select("f", F.xxhash64(owner).alias("owner"), "minima"))
+    share = copies(one.where(F.col("prints") >= LEAST_PRINTS).select("f", F.xxhash64(owner).alias("owner"), "found"))
     dense = F.col("dense") > F.col("chars") * DENSE_SHARE
     tabular = (F.col("lines") >= SHAPE_LINES) & (F.col("top") >= F.col("lines") * SHAPE_SHARE)
     return one.join(share, "f", "left").select(
